@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,22 +28,28 @@ def build_session(app: str = "weftwork", master: str | None = None, **conf) -> S
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return sc._jsc.sc().getCheckpointDir().get()
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="weftwork-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
-    The folder is the one named by spark.checkpoint.dir. Only where that is unset (tests, a single machine) a
-    temporary folder is used.
+def materialised(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a Parquet table in the shared folder, where it outlives lost executors.
+
+    Unlike checkpoint() it keeps rows column by column and compressed, and later reads take only the columns they need.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="weftwork-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
