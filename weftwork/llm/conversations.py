@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.session import materialised
+
+PLACE = ["workspace_id", "channel"]
+#: Stands for a null workspace or channel inside.
+NONE = "\x00"
 MICRO = 1_000_000
 #: Messages of a run are at most this many seconds apart.
 GAP_S = 600
@@ -38,54 +43,59 @@ def newest_messages(messages: DataFrame) -> DataFrame:
     """One row per workspace, channel and moment: the row received last; of equal times, the one with the larger row id.
 
     Columns: workspace_id, channel, ts_us, thread_us, user, left. left: the message has a text and a user. Rows without a
-    numeric ts are ignored.
+    numeric ts are ignored. Null workspaces and channels become NONE, so that they join like any others.
     """
     m = messages.select(
-        "workspace_id", "channel", micros(F.col("ts")).alias("ts_us"), micros(F.col("thread_ts")).alias("thread_us"),
-        F.col("user"), (~blank(F.col("text")) & F.col("user").isNotNull()).alias("left"), "received_at", "row_id",
+        *[F.coalesce(c, F.lit(NONE)).alias(c) for c in PLACE], micros(F.col("ts")).alias("ts_us"), micros(F.col("thread_ts")).alias("thread_us"),
+        F.when(~blank(F.col("text")), F.col("user")).alias("user"), "received_at", "row_id",
     ).filter("ts_us IS NOT NULL")
-    w = Window.partitionBy("workspace_id", "channel", "ts_us").orderBy(F.col("received_at").desc_nulls_last(), F.col("row_id").desc_nulls_last())
+    w = Window.partitionBy(*PLACE, "ts_us").orderBy(F.col("received_at").desc_nulls_last(), F.col("row_id").desc_nulls_last())
     return m.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "received_at", "row_id")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    on = None
-    r = right
-    for k in keys:
-        r = r.withColumnRenamed(k, f"__{k}")
-    for k in keys:
-        e = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = e if on is None else on & e
-    return left.join(r, on, how).drop(*[f"__{k}" for k in keys])
+def bucketed(rows: DataFrame, order: str, bucket_s: int) -> DataFrame:
+    return rows.withColumn("bucket", F.floor(F.col(order) / (bucket_s * MICRO)))
 
 
 def runs(loose: DataFrame, gap_s: int = GAP_S, bucket_s: int = BUCKET_S) -> DataFrame:
     """loose with run_us, the first moment of the run that each message belongs to."""
-    place = ["workspace_id", "channel", "bucket"]
-    gap, width = gap_s * MICRO, bucket_s * MICRO
-    m = loose.withColumn("bucket", F.floor(F.col("ts_us") / width))
-    w = Window.partitionBy(*place).orderBy("ts_us")
-    m = m.withColumn("before", F.lag("ts_us").over(w))
+    key, gap = [*PLACE, "bucket"], gap_s * MICRO
+    w = Window.partitionBy(*key).orderBy("ts_us")
+    m = bucketed(loose, "ts_us", bucket_s).withColumn("before", F.lag("ts_us").over(w))
     m = m.withColumn("own", F.last(F.when(F.col("ts_us") - F.col("before") > gap, F.col("ts_us")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = m.groupBy(*place).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.max("own").alias("last_own"))
-    c = Window.partitionBy("workspace_id", "channel").orderBy("bucket")
+    heads = m.groupBy(*key).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.max("own").alias("last_own"))
+    c = Window.partitionBy(*PLACE).orderBy("bucket")
     heads = heads.withColumn("gone", F.lag("last_us").over(c))
-    opens = F.col("gone").isNull() | (F.col("first_us") - F.col("gone") > gap)
-    heads = heads.withColumn("opens", opens).withColumn("tail", F.coalesce("last_own", F.when(F.col("opens"), F.col("first_us"))))
+    heads = heads.withColumn("opens", F.col("gone").isNull() | (F.col("first_us") - F.col("gone") > gap))
+    heads = heads.withColumn("tail", F.coalesce("last_own", F.when(F.col("opens"), F.col("first_us"))))
     heads = heads.withColumn("carried", F.last("tail", ignorenulls=True).over(c.rowsBetween(Window.unboundedPreceding, -1)))
-    heads = heads.select(*place, F.when(F.col("opens"), F.col("first_us")).otherwise(F.col("carried")).alias("head"))
-    return _null_safe(m, heads, place, "inner").select(*loose.columns, F.coalesce("own", "head").alias("run_us"))
+    heads = heads.select(*key, F.when(F.col("opens"), F.col("first_us")).otherwise(F.col("carried")).alias("head"))
+    return m.join(heads, key).select(*loose.columns, F.coalesce("own", "head").alias("run_us"))
 
 
-def turns(rows: DataFrame, keys: list[str], order: str, bucket_s: int = BUCKET_S) -> DataFrame:
-    """rows with `turn`, their place from 0 within the keys by `order` (microseconds, unique within the keys)."""
-    place = [*keys, "bucket"]
-    m = rows.withColumn("bucket", F.floor(F.col(order) / (bucket_s * MICRO)))
-    sizes = m.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-    shift = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*place, shift.alias("shift"))
-    m = m.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy(order)))
-    return _null_safe(m, sizes, place, "inner").select(*rows.columns, (F.col("rank") - 1 + F.col("shift")).cast("int").alias("turn"))
+def judged(said: DataFrame, keys: list[str], thread_turns: int, run_turns: int, bucket_s: int) -> DataFrame:
+    """said with root_us, turn and role, in the conversations that the automaton accepts.
+
+    Every piece (keys, bucket) of a conversation yields the automaton's state after it; states are combined over the few
+    pieces of a conversation, which also tells how many turns come before each piece.
+    """
+    piece = [*keys, "bucket"]
+    m = bucketed(said, "ts_us", bucket_s)
+    state = m.groupBy(*piece).agg(
+        F.count(F.lit(1)).alias("n"), F.min("user").alias("low"), F.max("user").alias("high"), F.min("ts_us").alias("first_us"),
+        F.min_by("user", "ts_us").alias("first_user"), F.max(F.col("ts_us") == F.col("conv_us")).alias("rooted"),
+    )
+    whole = Window.partitionBy(*keys)
+    ordered = whole.orderBy("bucket")
+    heard = F.min("low").over(whole) != F.max("high").over(whole)
+    turns = F.sum("n").over(whole)
+    accepted = heard & F.when(F.col("threaded"), F.max("rooted").over(whole) & (turns >= thread_turns)).otherwise(turns >= run_turns)
+    state = state.select(
+        *piece, accepted.alias("accepted"), F.min("first_us").over(whole).alias("root_us"), F.first("first_user").over(ordered).alias("opener"),
+        F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"),
+    ).filter("accepted").drop("accepted")
+    rank = F.row_number().over(Window.partitionBy(*piece).orderBy("ts_us"))
+    return m.join(state, piece).withColumn("turn", (rank - 1 + F.col("shift")).cast("int")).withColumn("role", F.when(F.col("user") == F.col("opener"), "opener").otherwise("replier"))
 
 
 def conversations(messages: DataFrame, *, gap_s: int = GAP_S, bucket_s: int = BUCKET_S, thread_turns: int = THREAD_TURNS, run_turns: int = RUN_TURNS) -> DataFrame:
@@ -97,22 +107,13 @@ def conversations(messages: DataFrame, *, gap_s: int = GAP_S, bucket_s: int = BU
     its named message. A null workspace or channel is a place like any other. Empty tables give no rows; other columns
     are ignored.
     """
-    place = ["workspace_id", "channel"]
-    m = newest_messages(messages)
-    named = m.filter("thread_us IS NOT NULL").select(*place, F.col("thread_us").alias("ts_us")).distinct().withColumn("named", F.lit(True))
-    m = _null_safe(m, named, [*place, "ts_us"], "left")
-    m = m.withColumn("thread", F.coalesce("thread_us", F.when(F.col("named"), F.col("ts_us")))).drop("named", "thread_us")
-    threads = m.filter("thread IS NOT NULL AND left").select(*place, F.lit(True).alias("threaded"), F.col("thread").alias("conv_us"), "ts_us", "user")
-    loose = runs(m.filter("thread IS NULL").drop("thread"), gap_s, bucket_s).filter("left")
-    said = threads.unionByName(loose.select(*place, F.lit(False).alias("threaded"), F.col("run_us").alias("conv_us"), "ts_us", "user"))
-    keys = [*place, "threaded", "conv_us"]
-    state = said.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("user").alias("low"), F.max("user").alias("high"),
-        F.min("ts_us").alias("root_us"), F.min_by("user", "ts_us").alias("opener"),
-        F.max(F.col("ts_us") == F.col("conv_us")).alias("rooted"),
-    )
-    accepted = (F.col("low") != F.col("high")) & F.when(F.col("threaded"), F.col("rooted") & (F.col("n") >= thread_turns)).otherwise(F.col("n") >= run_turns)
-    kept = state.filter(accepted).select(*keys, "root_us", "opener")
-    rows = turns(_null_safe(said, kept, keys, "inner"), keys, "ts_us", bucket_s)
-    role = F.when(F.col("user") == F.col("opener"), "opener").otherwise("replier")
-    return rows.select(*place, "root_us", "turn", "ts_us", role.alias("role"))
+    m = materialised(newest_messages(messages))
+    named = m.filter("thread_us IS NOT NULL").select(*PLACE, F.col("thread_us").alias("ts_us")).distinct().withColumn("named", F.lit(True))
+    single = m.filter("thread_us IS NULL").drop("thread_us").join(named, [*PLACE, "ts_us"], "left")
+    conv = [*PLACE, "threaded", "conv_us", "ts_us", "user"]
+    replies = m.filter("thread_us IS NOT NULL AND user IS NOT NULL").select(*PLACE, F.lit(True).alias("threaded"), F.col("thread_us").alias("conv_us"), "ts_us", "user")
+    roots = single.filter("named AND user IS NOT NULL").select(*PLACE, F.lit(True).alias("threaded"), F.col("ts_us").alias("conv_us"), "ts_us", "user")
+    loose = runs(single.filter("named IS NULL").drop("named"), gap_s, bucket_s).filter("user IS NOT NULL")
+    said = replies.unionByName(roots).unionByName(loose.select(*PLACE, F.lit(False).alias("threaded"), F.col("run_us").alias("conv_us"), "ts_us", "user"))
+    rows = judged(said.select(*conv), [*PLACE, "threaded", "conv_us"], thread_turns, run_turns, bucket_s)
+    return rows.select(*[F.when(F.col(c) != NONE, F.col(c)).alias(c) for c in PLACE], "root_us", "turn", "ts_us", "role")
