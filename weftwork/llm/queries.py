@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm import conversations as chat
-from weftwork.llm import encoding
+from weftwork.llm import encoding, secrets, sentences
 from weftwork.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every secret in every line of context.lines."""
+    return secrets.secrets_in(table(spark, folder, "context"), ["block_id"]).select("block_id", "line_no", "start_at")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every message of every kept conversation of decisions."""
     return chat.conversations(table(spark, folder, "decisions"))
@@ -21,9 +26,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.sentence_units(table(spark, folder, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {
