@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm import conversations as chat
-from weftwork.llm import encoding, secrets, sentences
+from weftwork.llm import encoding, handwritten, secrets, sentences
 from weftwork.tables import table
 
 
@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets_in(table(spark, folder, "context"), ["block_id"]).select("block_id", "line_no", "start_at")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of facts_py that weren't written by hand for the project."""
+    return handwritten.made_files(table(spark, folder, "facts_py"), table(spark, folder, "context")).select("repo", "path")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every message of every kept conversation of decisions."""
     return chat.conversations(table(spark, folder, "decisions"))
@@ -33,6 +38,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p8_found": p8_found,
