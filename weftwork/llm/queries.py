@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftwork.llm import conversations as chat
-from weftwork.llm import encoding, handwritten, secrets, sentences
+from weftwork.llm import encoding, handwritten, personal, secrets, sentences
 from weftwork.tables import table
 
 
@@ -26,6 +27,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversations(table(spark, folder, "decisions"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every personal item in decisions.text, comments.body and service.description_md."""
+    names = personal.lexicon(table(spark, folder, "members"))
+    parts = []
+    for name, column in (("decisions", "text"), ("comments", "body"), ("service", "description_md")):
+        found = personal.personal_items(table(spark, folder, name), column, ["row_id"], names)
+        parts.append(found.select(F.lit(name).alias("tbl"), "row_id", "kind", "start_at"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encoding.encode(table(spark, folder, "documents"), "text", ["doc_id"])
@@ -40,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p8_found": p8_found,
 }
