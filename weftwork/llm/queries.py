@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm import conversations as chat
-from weftwork.llm import encoding, handwritten, personal, secrets, sentences
+from weftwork.llm import encoding, handwritten, mixing, personal, secrets, sentences
 from weftwork.tables import table
 
 
@@ -42,6 +42,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of every mix and how often each is used."""
+    return mixing.mixtures(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share that each source reaches in every mix."""
+    return mixing.mixtures(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of every document."""
     return sentences.sentence_units(table(spark, folder, "documents"), ["doc_id"])
@@ -53,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
 
