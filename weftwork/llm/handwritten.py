@@ -167,20 +167,20 @@ def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tup
 def fact_tokens(row: dict) -> list[str]:
     """A file's facts in order, as tokens."""
     out: list[str] = []
-    for x in row["imports"] or []:
+    for x in filter(None, row["imports"] or []):
         out += ["import", x["specifier"] or "", *(y or "" for y in x["names"] or [])]
-    for x in row["definitions"] or []:
+    for x in filter(None, row["definitions"] or []):
         out += [x["kind"] or "", x["signature"] or x["name"] or "", x["docstring"] or ""]
-    for x in row["calls"] or []:
+    for x in filter(None, row["calls"] or []):
         out += ["call", x["callee"] or "", x["enclosing"] or ""]
-    for x in row["inheritance"] or []:
+    for x in filter(None, row["inheritance"] or []):
         out += ["extends", x["child"] or "", x["parent_name"] or ""]
     return out
 
 
 def fact_marks(row: dict) -> tuple[bool, bool, list[int]]:
     """Whether the facts are those of shrunk code, of data, and the hashes of the grammar's large rules."""
-    names = [x["name"] or "" for x in row["definitions"] or []]
+    names = [x["name"] or "" for x in filter(None, row["definitions"] or [])]
     loc, calls = row["loc"] or 0, row["calls"] or []
     shrunk = len(names) >= 10 and sum(len(x) <= 2 for x in names) >= SHORT_NAMES * len(names)
     data = loc >= DATA_LINES and len(names) <= 1 and len(calls) <= 1 and not row["imports"]

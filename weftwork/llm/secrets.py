@@ -56,13 +56,15 @@ TAILS = {
     "privatekey", "contraseña", "contrasena", "passwort", "kennwort", "пароль", "密码", "パスワード", "credentials", "apitoken", "accesskey", "signingkey",
 }
 BEFORE_KEY = {"api", "secret", "access", "private", "signing", "auth", "encryption", "account", "master", "service", "client", "license", "shared"}
-NAMED = re.compile(
-    r"""(?P<name>[\w.\-]*(?:pass|pwd|secret|token|key|jwt|contrase|kennwort|пароль|密码|パスワード|credential)[\w.\-]*)(?P<nq>["'`\]]*)"""
-    r"""(?:\s*:\s*[A-Za-z_][\w\[\], |.]*?(?=\s*=))?\s*(?P<sep>===?|=>|:=|=|:|,)\s*(?:(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))[^\\]|\\.)*)(?P=q)|(?P<bare>[^\s"'`,;&<>(){}\[\]|]+))""",
-    re.I,
+KEY_WORD = re.compile(r"pass|pwd|secret|token|key|jwt|contrase|kennwort|пароль|密码|パスワード|credential", re.I)
+NAME_CHARS = re.compile(r"[\w.\-]{0,100}")
+#: What follows a name: a type, a sign, a value. Values are at most 4096 characters, far more than any secret of one line but keys.
+ASSIGNED = re.compile(
+    r"""(?P<nq>["'`\]]{0,4})(?:\s{0,8}:\s{0,8}[A-Za-z_][\w\[\], |.]{0,60}?(?=\s{0,8}=))?\s{0,40}(?P<sep>===?|=>|:=|=|:|,)\s{0,40}"""
+    r"""(?:(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))[^\\]|\\.){0,4096})(?P=q)|(?P<bare>[^\s"'`,;&<>(){}\[\]|]{1,4096}))"""
 )
 HEADER = re.compile(r"""\b(?:bearer|basic)\s+(?P<v>[A-Za-z0-9+/=._~\-]{12,})""", re.I)
-USERINFO = re.compile(r"""[a-z][a-z0-9+.\-]*://[^\s:/@"'`]*:(?P<v>[^\s/@"'`]+)@""", re.I)
+USERINFO = re.compile(r"""[a-z][a-z0-9+.\-]{1,20}://[^\s:/@"'`]*:(?P<v>[^\s/@"'`]+)@""", re.I)
 CURL = re.compile(r"""(?:^|\s)(?:-u|--user)[ =]["']?[^\s:"']+:(?P<v>[^\s"']+)""")
 ELEMENT = re.compile(r"<(?P<name>[\w.\-]+)>(?P<v>[^<>\s]+)</(?P=name)>")
 PAIR = re.compile(r"""\bauth\w*\s*(?:=\s*)?\(\s*["'][^"']*["']\s*,\s*(?P<q>["'])(?P<v>[^"']+)(?P=q)\s*\)""", re.I)
@@ -168,9 +170,16 @@ def _in_line(line: str) -> list[tuple[int, int, str]]:
         if names_secret(m["name"]) and usable(m["v"], 6):
             add(m.start("v"), m.end("v"), "password")
     at = 0
-    while (m := NAMED.search(line, at)) is not None:
-        at = max(m.end("name"), at + 1)
-        name = m["name"]
+    for word in KEY_WORD.finditer(line):
+        if word.start() < at:
+            continue
+        begin, stop = word.start(), NAME_CHARS.match(line, word.end()).end()
+        while begin > 0 and word.start() - begin < 100 and (line[begin - 1].isalnum() or line[begin - 1] in "_.-"):
+            begin -= 1
+        at, name = stop, line[begin:stop]
+        m = ASSIGNED.match(line, stop)
+        if m is None:
+            continue
         value, where = (m["quoted"], "quoted") if m["quoted"] is not None else (m["bare"], "bare")
         if m["sep"] == "," and not (m["nq"][:1] in ("'", '"') and where == "quoted"):
             continue
@@ -179,7 +188,7 @@ def _in_line(line: str) -> list[tuple[int, int, str]]:
             continue
         if where == "bare":
             tail = line[m.end() :]
-            if tail[:1] in "([{" and tail[:1] or not re.fullmatch(r"[\w\-.!#%?+/=@$^*~:]+", value) or re.match(r"[A-Za-z_][\w]*\.[A-Za-z_][\w.]*$", value) and not re.search(r"\d", value):
+            if tail[:1] and tail[0] in "([{" or not re.fullmatch(r"[\w\-.!#%?+/=@$^*~:]+", value) or re.match(r"[A-Za-z_][\w]*\.[A-Za-z_][\w.]*$", value) and not re.search(r"\d", value):
                 continue
         start = m.start(where)
         if where == "bare" and "=" in value and not value.endswith("=") and value.index("=") < len(value) - 3 and value[: value.index("=")].replace("_", "").isalpha():

@@ -10,6 +10,7 @@ corpus, at the starts of blocks, where sentences certainly start.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -145,29 +146,26 @@ def pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
     """Opening and closing places of matched quotes and brackets. Unmatched marks are ordinary characters."""
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
+    waiting: Counter[str] = Counter()
 
     def close(partners: str, at: int) -> bool:
+        if not any(waiting[p] for p in partners):
+            return False
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in partners:
                 found.append((stack[k][1], at))
+                waiting.subtract(x for x, _ in stack[k:])
                 del stack[k:]
                 return True
         return False
 
     for m in QUOTES.finditer(text, s, e):
         c, at = m[0], m.start()
-        if c in OPENING:
-            stack.append((c, at))
-        elif c in CLOSING:
+        if c in CLOSING:
             close(CLOSING[c], at)
-        elif c == "“":
-            if not close("„”", at):
-                stack.append((c, at))
-        elif c == "”":
-            if not close("“„", at):
-                stack.append((c, at))
-        elif not close('"', at):
+        elif c in OPENING or not close({"“": "„”", "”": "“„"}.get(c, c), at):
             stack.append((c, at))
+            waiting[c] += 1
     return found
 
 
@@ -279,8 +277,9 @@ def cut(text: str, s: int, e: int, openers: set[str]) -> Iterator[tuple[int, int
         ends.append((e, 10.0))
     stops = [s, *(p for p, _ in ends)]
     depth = [0] * len(stops)
+    starts, closes = sorted(o for o, _ in inside), sorted(c for _, c in inside)
     for k, p in enumerate(stops[1:-1], 1):
-        depth[k] = sum(o < p <= c for o, c in inside)
+        depth[k] = bisect_left(starts, p) - bisect_left(closes, p)
     best, back = [0.0] + [-1e18] * (len(stops) - 1), [0] * len(stops)
     for j in range(1, len(stops)):
         gain = ends[j - 1][1]
