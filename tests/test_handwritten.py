@@ -1,0 +1,36 @@
+from __future__ import annotations
+
+from weftwork.llm import handwritten as H
+
+FACTS = "repo string, path string, content_hash string, loc int, truncated boolean, definitions array<struct<kind string, name string, signature string, docstring string>>, imports array<struct<specifier string, names array<string>>>, calls array<struct<callee string, enclosing string>>, inheritance array<struct<child string, parent_name string>>"
+EXCERPTS = "repo string, path string, lines array<string>, start_line int"
+
+
+def facts(path, words, repo="a/one", calls=(), loc=200, truncated=False, imports=()):
+    return (repo, path, f"{repo} {path}", loc, truncated, [("function", w, f"{w}(x)", f"about {w}") for w in words], [(i, [i]) for i in imports], list(calls), [])
+
+
+def made(spark, rows, excerpts=()):
+    found = H.made_files(spark.createDataFrame(rows, FACTS), spark.createDataFrame(list(excerpts), EXCERPTS))
+    return {(r["repo"], r["path"]): r["reasons"] for r in found.collect()}
+
+
+def test_rule_reuse_in_facts_flags_files_without_name_or_excerpt(spark):
+    calls = [(c, "register") for _ in range(40) for c in ("writer.field", "writer.type", "writer.end")]
+    varied = [(f"step{i}", f"part{i * 7 % 31}") for i in range(120)]
+    found = made(spark, [facts("app/messages.py", ["register"], calls=calls), facts("app/steps.py", ["register"], calls=varied)])
+    assert found == {("a/one", "app/messages.py"): ["made"]}
+
+
+def test_rule_reuse_in_excerpts_flags_files_without_a_mark(spark):
+    repeated = ["    table.register(field, kind, None)"] * 40
+    varied = [f"    step{i}(part{i * 7 % 31}, value{i})" for i in range(40)]
+    rows = [facts("app/table.py", ["load"]), facts("app/steps.py", ["save"])]
+    found = made(spark, rows, [("a/one", "app/table.py", repeated, 300), ("a/one", "app/steps.py", varied, 300)])
+    assert found == {("a/one", "app/table.py"): ["made"]}
+
+
+def test_truncated_file_without_facts_is_data(spark):
+    long = facts("app/long.py", [f"step{i}" for i in range(30)], loc=8000, truncated=True)
+    found = made(spark, [facts("app/codes.js", [], loc=2, truncated=True), facts("app/few.js", [], loc=2), long])
+    assert found == {("a/one", "app/codes.js"): ["data"]}

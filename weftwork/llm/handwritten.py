@@ -1,10 +1,10 @@
 """Files that weren't written by hand for the project: generated, shrunk, copied from elsewhere, or data kept as code.
 
 A Re-Pair grammar is inferred over the tokens of each excerpt and over the facts of each file. Its rules tell three
-things. Much reuse of few rules over short names is code made or shrunk by a tool. Literals that even a grammar can't
+things. Much reuse of few rules is code made by a tool, and over short names code shrunk by one. Literals that even a grammar can't
 shorten, and hardly anything else, are data. Large rules that a file shares with a file in a folder for foreign code are
 a copy of that code, wherever it lies. The marks that tools leave in names and in the first lines decide where a grammar
-can't: a generator's output follows the same grammar as what people write from a template.
+can't: most generators' output follows the same grammar as what people write from a template (figures in the README).
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from weftwork.session import materialised
 LEAST_TOKENS = 40
 #: Share of tokens that rules save, and share of names of one or two letters, from which an excerpt is shrunk code.
 SAVED, SHORT_NAMES = 0.5, 0.6
+#: Share of a file's facts that rules save from which the file is made by a tool; excerpts repeat more and take SAVED.
+FACTS_SAVED = 0.3
 #: Share of an excerpt's characters in literals, and the most that rules may save of them, from which it's data.
 LITERALS, LITERALS_SAVED = 0.75, 0.3
 #: A rule is large if it spans this share of a file's facts, and LEAST_SPAN of them; a copy shares one of those.
 SPAN, LEAST_SPAN = 0.5, 8
-#: A file of so many lines that defines and calls next to nothing is data.
+#: A file of so many lines, or too large to be read whole, that defines and calls next to nothing is data.
 DATA_LINES = 5000
 
 # Folders for foreign code.
@@ -141,7 +143,7 @@ def saved(tokens: list[str]) -> float:
 
 
 def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tuple[bool, bool, bool]:
-    """Whether an excerpt bears a generator's mark, is shrunk code, is data."""
+    """Whether an excerpt bears a generator's mark or reuses rules as only a generator does, is shrunk code, is data."""
     lines = [x or "" for x in lines or []]
     head = HEAD_LINES - (start_line if start_line is not None else 10**9) + 1
     marked = any(COMMENT.match(x) and MADE_MARK.search(x) for x in lines[: max(0, head)])
@@ -161,7 +163,8 @@ def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tup
     size = sum(map(len, literals)) + 4 * len(literals)
     if bare < 0.5 * total and len(literals) >= 20 and size >= LITERALS * (total - sum(x.count(" ") for x in lines)) * 0.9 and len(names) <= 0.1 * len(tokens):
         data = saved(literals) <= LITERALS_SAVED
-    return marked, shrunk, data
+    made = marked or not shrunk and len(tokens) >= LEAST_TOKENS and saved(tokens) >= SAVED
+    return made, shrunk, data
 
 
 def fact_tokens(row: dict) -> list[str]:
@@ -178,13 +181,14 @@ def fact_tokens(row: dict) -> list[str]:
     return out
 
 
-def fact_marks(row: dict) -> tuple[bool, bool, list[int]]:
-    """Whether the facts are those of shrunk code, of data, and the hashes of the grammar's large rules."""
+def fact_marks(row: dict) -> tuple[bool, bool, bool, list[int]]:
+    """Whether the facts are those of code made by a tool, of shrunk code, of data, and the hashes of the grammar's large rules."""
     names = [x["name"] or "" for x in filter(None, row["definitions"] or [])]
     loc, calls = row["loc"] or 0, row["calls"] or []
     shrunk = len(names) >= 10 and sum(len(x) <= 2 for x in names) >= SHORT_NAMES * len(names)
-    data = loc >= DATA_LINES and len(names) <= 1 and len(calls) <= 1 and not row["imports"]
+    data = (loc >= DATA_LINES or bool(row["truncated"])) and len(names) <= 1 and len(calls) <= 1 and not row["imports"]
     tokens = fact_tokens(row)
+    made = not shrunk and len(tokens) >= LEAST_TOKENS and saved(tokens) >= FACTS_SAVED
     large: set[int] = set()
     if len(tokens) >= LEAST_SPAN:
         number: dict[str, int] = {}
@@ -199,14 +203,14 @@ def fact_marks(row: dict) -> tuple[bool, bool, list[int]]:
             if k >= max(LEAST_SPAN, SPAN * len(seq)):
                 h = xxhash.xxh3_64_intdigest("\x1f".join(word[t] for t in expand(s, rules)).encode("utf-8", "surrogatepass"))
                 large.add(h - (1 << 64) if h >> 63 else h)
-    return shrunk, data, sorted(large)
+    return made, shrunk, data, sorted(large)
 
 
-FACTS = ["definitions", "imports", "calls", "inheritance", "loc"]
+FACTS = ["definitions", "imports", "calls", "inheritance", "loc", "truncated"]
 
 
 def file_evidence(facts: DataFrame) -> DataFrame:
-    """repo, path, content_hash, blank, shrunk, data, rules of every row of facts_py."""
+    """repo, path, content_hash, blank, made, shrunk, data, rules of every row of facts_py."""
     keep = facts.schema["repo"], facts.schema["path"], facts.schema["content_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +220,7 @@ def file_evidence(facts: DataFrame) -> DataFrame:
             hashes = b["content_hash"].to_pylist()
             columns = {c: b[c] for c in FACTS}
             for i, h in enumerate(hashes):
-                key = (h, columns["loc"][i].as_py())
+                key = (h, columns["loc"][i].as_py(), columns["truncated"][i].as_py())
                 if h is None or key not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
@@ -224,12 +228,12 @@ def file_evidence(facts: DataFrame) -> DataFrame:
                     empty = h == EMPTY_HASH or (row["loc"] or 0) <= 1 and not any(row[c] for c in FACTS[:4])
                     seen[key] = (empty, *fact_marks(row))
                 found.append(seen[key])
-            cols = list(zip(*found)) if found else [[], [], [], []]
-            kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b[c] for c in ("repo", "path", "content_hash")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo", "path", "content_hash", "blank", "shrunk", "data", "rules"])
+            cols = list(zip(*found)) if found else [[], [], [], [], []]
+            kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b[c] for c in ("repo", "path", "content_hash")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo", "path", "content_hash", "blank", "made", "shrunk", "data", "rules"])
 
     assert all(f.dataType.simpleString() == "string" for f in keep)
-    return facts.select("repo", "path", "content_hash", *FACTS).mapInArrow(run, "repo string, path string, content_hash string, blank boolean, shrunk boolean, data boolean, rules array<long>")
+    return facts.select("repo", "path", "content_hash", *FACTS).mapInArrow(run, "repo string, path string, content_hash string, blank boolean, made boolean, shrunk boolean, data boolean, rules array<long>")
 
 
 def excerpt_evidence(excerpts: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def made_files(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
     columns = ["repo", "path", "listed", "foreign", "copy", "made", "shrunk", "data"]
     yes = F.lit(True)
     parts = [
-        seen.select("repo", "path", yes.alias("listed"), "foreign", no.alias("copy"), F.col("path").rlike(MADE_NAME).alias("made"), (F.col("shrunk") | F.col("path").rlike(SHRUNK_NAME)).alias("shrunk"), "data"),
+        seen.select("repo", "path", yes.alias("listed"), "foreign", no.alias("copy"), (F.col("made") | F.col("path").rlike(MADE_NAME)).alias("made"), (F.col("shrunk") | F.col("path").rlike(SHRUNK_NAME)).alias("shrunk"), "data"),
         copies.select("repo", "path", no.alias("listed"), no.alias("foreign"), yes.alias("copy"), no.alias("made"), no.alias("shrunk"), no.alias("data")),
         excerpt_evidence(excerpts).filter("marked OR shrunk OR data").select("repo", "path", no.alias("listed"), no.alias("foreign"), no.alias("copy"), F.col("marked").alias("made"), "shrunk", "data"),
     ]
