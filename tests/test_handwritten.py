@@ -34,3 +34,19 @@ def test_truncated_file_without_facts_is_data(spark):
     long = facts("app/long.py", [f"step{i}" for i in range(30)], loc=8000, truncated=True)
     found = made(spark, [facts("app/codes.js", [], loc=2, truncated=True), facts("app/few.js", [], loc=2), long])
     assert found == {("a/one", "app/codes.js"): ["data"]}
+
+
+WORDS = [f"part{i}" for i in range(24)]
+
+
+def test_copy_in_many_repositories_is_foreign_without_a_folder_for_it(spark):
+    rows = [facts(f"lib/{r}.py", WORDS, repo=f"a/{r}") for r in ("one", "two", "three", "four", "five")]
+    rows += [facts(f"lib/{r}.py", [f"own{i}" for i in range(12)], repo=f"a/{r}") for r in ("six", "seven", "eight")]  # repeated in a project's own
+    assert made(spark, rows) == {(f"a/{r}", f"lib/{r}.py"): ["copy"] for r in ("one", "two", "three", "four", "five")}
+
+
+def test_edited_copy_of_foreign_code_is_found(spark):
+    edited = ["fresh", *WORDS[:11], "inserted", *WORDS[11:]]
+    own = [*WORDS[:4], *[f"own{i}" for i in range(20)]]
+    found = made(spark, [facts("vendored/parts.py", WORDS), facts("app/parts.py", edited, repo="a/two"), facts("app/own.py", own, repo="a/two")])
+    assert found == {("a/one", "vendored/parts.py"): ["foreign"], ("a/two", "app/parts.py"): ["copy"]}

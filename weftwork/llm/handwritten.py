@@ -1,9 +1,10 @@
 """Files that weren't written by hand for the project: generated, shrunk, copied from elsewhere, or data kept as code.
 
-A Re-Pair grammar is inferred over the tokens of each excerpt and over the facts of each file. Its rules tell three
+A Re-Pair grammar is inferred over the tokens of each excerpt and over the facts of each file. Its rules tell two
 things. Much reuse of few rules is code made by a tool, and over short names code shrunk by one. Literals that even a grammar can't
-shorten, and hardly anything else, are data. Large rules that a file shares with a file in a folder for foreign code are
-a copy of that code, wherever it lies. The marks that tools leave in names and in the first lines decide where a grammar
+shorten, and hardly anything else, are data. Spans of facts that a file shares with files in a
+folder for foreign code, or with several repositories, are a copy of foreign code, wherever it lies: spans start at every
+fact token, so that an edit changes only those across it, while Re-Pair's pairs shift with it. The marks that tools leave in names and in the first lines decide where a grammar
 can't: most generators' output follows the same grammar as what people write from a template (figures in the README).
 """
 
@@ -28,8 +29,10 @@ SAVED, SHORT_NAMES = 0.5, 0.6
 FACTS_SAVED = 0.3
 #: Share of an excerpt's characters in literals, and the most that rules may save of them, from which it's data.
 LITERALS, LITERALS_SAVED = 0.75, 0.3
-#: A rule is large if it spans this share of a file's facts, and LEAST_SPAN of them; a copy shares one of those.
-SPAN, LEAST_SPAN = 0.5, 8
+#: Tokens of a span of facts, and the share of a file's spans that a copy has in common with foreign code.
+LEAST_SPAN, SPAN = 8, 0.5
+#: A span in so many repositories is foreign in any folder, for files of LEAST_SPAN spans; people repeat their own files in two or three.
+REPOSITORIES = 5
 #: A file of so many lines, or too large to be read whole, that defines and calls next to nothing is data.
 DATA_LINES = 5000
 
@@ -122,17 +125,6 @@ def repair(tokens: list[int]) -> tuple[list[int], dict[int, tuple[int, int]]]:
     return [x for x in seq if x is not None], rules
 
 
-def expand(symbol: int, rules: dict[int, tuple[int, int]]) -> list[int]:
-    out, stack = [], [symbol]
-    while stack:
-        s = stack.pop()
-        if s in rules:
-            stack.extend(reversed(rules[s]))
-        else:
-            out.append(s)
-    return out
-
-
 def saved(tokens: list[str]) -> float:
     """The share of a sequence that its grammar saves: 0 for none, near 1 for endless repetition."""
     if len(tokens) < 2:
@@ -182,35 +174,25 @@ def fact_tokens(row: dict) -> list[str]:
 
 
 def fact_marks(row: dict) -> tuple[bool, bool, bool, list[int]]:
-    """Whether the facts are those of code made by a tool, of shrunk code, of data, and the hashes of the grammar's large rules."""
+    """Whether the facts are those of code made by a tool, of shrunk code, of data, and the hashes of all spans of them."""
     names = [x["name"] or "" for x in filter(None, row["definitions"] or [])]
     loc, calls = row["loc"] or 0, row["calls"] or []
     shrunk = len(names) >= 10 and sum(len(x) <= 2 for x in names) >= SHORT_NAMES * len(names)
     data = (loc >= DATA_LINES or bool(row["truncated"])) and len(names) <= 1 and len(calls) <= 1 and not row["imports"]
     tokens = fact_tokens(row)
     made = not shrunk and len(tokens) >= LEAST_TOKENS and saved(tokens) >= FACTS_SAVED
-    large: set[int] = set()
-    if len(tokens) >= LEAST_SPAN:
-        number: dict[str, int] = {}
-        seq = [number.setdefault(t, len(number)) for t in tokens]
-        word = list(number)
-        # twice, and apart, so that all of it is repeated and the rules reach from the tokens to the whole
-        _, rules = repair([*seq, len(word), *seq])
-        size: dict[int, int] = {}
-        for s, (a, b) in rules.items():
-            size[s] = size.get(a, 1) + size.get(b, 1)
-        for s, k in size.items():
-            if k >= max(LEAST_SPAN, SPAN * len(seq)):
-                h = xxhash.xxh3_64_intdigest("\x1f".join(word[t] for t in expand(s, rules)).encode("utf-8", "surrogatepass"))
-                large.add(h - (1 << 64) if h >> 63 else h)
-    return made, shrunk, data, sorted(large)
+    spans: set[int] = set()
+    for i in range(len(tokens) - LEAST_SPAN + 1):
+        h = xxhash.xxh3_64_intdigest("\x1f".join(tokens[i : i + LEAST_SPAN]).encode("utf-8", "surrogatepass"))
+        spans.add(h - (1 << 64) if h >> 63 else h)
+    return made, shrunk, data, sorted(spans)
 
 
 FACTS = ["definitions", "imports", "calls", "inheritance", "loc", "truncated"]
 
 
 def file_evidence(facts: DataFrame) -> DataFrame:
-    """repo, path, content_hash, blank, made, shrunk, data, rules of every row of facts_py."""
+    """repo, path, content_hash, blank, made, shrunk, data, spans of every row of facts_py."""
     keep = facts.schema["repo"], facts.schema["path"], facts.schema["content_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +212,10 @@ def file_evidence(facts: DataFrame) -> DataFrame:
                 found.append(seen[key])
             cols = list(zip(*found)) if found else [[], [], [], [], []]
             kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b[c] for c in ("repo", "path", "content_hash")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo", "path", "content_hash", "blank", "made", "shrunk", "data", "rules"])
+            yield pa.RecordBatch.from_arrays([b[c] for c in ("repo", "path", "content_hash")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo", "path", "content_hash", "blank", "made", "shrunk", "data", "spans"])
 
     assert all(f.dataType.simpleString() == "string" for f in keep)
-    return facts.select("repo", "path", "content_hash", *FACTS).mapInArrow(run, "repo string, path string, content_hash string, blank boolean, made boolean, shrunk boolean, data boolean, rules array<long>")
+    return facts.select("repo", "path", "content_hash", *FACTS).mapInArrow(run, "repo string, path string, content_hash string, blank boolean, made boolean, shrunk boolean, data boolean, spans array<long>")
 
 
 def excerpt_evidence(excerpts: DataFrame) -> DataFrame:
@@ -256,13 +238,19 @@ def made_files(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
     """
     seen = materialised(file_evidence(facts.filter("repo IS NOT NULL AND path IS NOT NULL")).withColumn("foreign", F.col("path").rlike(FOREIGN)))
     no = F.lit(False)
-    contents = seen.filter("NOT blank").select("repo", "path", "foreign", "content_hash", "rules").distinct()
+    contents = seen.filter("NOT blank").select("repo", "path", "foreign", "content_hash", "spans").distinct()
     foreign = contents.filter("foreign")
     home = contents.filter("NOT foreign")
     hashes = foreign.select("content_hash").filter("content_hash IS NOT NULL").distinct()
-    rules = foreign.select(F.explode("rules").alias("rule")).distinct()
+    repo = F.xxhash64("repo").alias("r")
+    known = contents.select(repo, "foreign", "spans").distinct().select("r", "foreign", F.explode("spans").alias("span")).groupBy("span", "r").agg(F.max("foreign").alias("anchored"))
+    known = known.groupBy("span").agg(F.max("anchored").alias("anchored"), (F.count(F.lit(1)) >= REPOSITORIES).alias("spread")).filter("anchored OR spread")
+    id_ = F.xxhash64("spans").alias("content")
+    spans = home.select("spans").distinct().select(id_, F.size("spans").alias("n"), F.explode("spans").alias("span"))
+    shared = spans.join(known, "span").groupBy("content", "n").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("anchored", "spread")])
+    copied = (F.col("anchored") >= SPAN * F.col("n")) | ((F.col("n") >= LEAST_SPAN) & (F.col("spread") >= SPAN * F.col("n")))
     copies = home.join(hashes, "content_hash", "left_semi").select("repo", "path").unionByName(
-        home.select("repo", "path", F.explode("rules").alias("rule")).join(rules, "rule", "left_semi").select("repo", "path")
+        home.select("repo", "path", id_).join(shared.filter(copied).select("content"), "content", "left_semi").select("repo", "path")
     )
     columns = ["repo", "path", "listed", "foreign", "copy", "made", "shrunk", "data"]
     yes = F.lit(True)
