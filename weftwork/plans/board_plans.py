@@ -147,13 +147,14 @@ def jn26_item_board(spark, folder):
 
 
 def jn6_evidence_state(spark, folder):
-    """Whether the beginning of a comment is quoted, unchanged, in its item's text (JN5, JN6, JN15, FN8, FN9)."""
+    """Whether the beginning of a comment is quoted, unchanged, in its item's text (JN5, JN6, JN15, FN8, FN9).
+
+    The SQL compares those in ASCII only and counts the others as 'skipped'."""
     c = table(spark, folder, "comments").filter("item_id IS NOT NULL")
     s = items(spark, folder).select("item_id", F.col("description_md").alias("source"))
     quote = F.regexp_extract(F.coalesce("body", F.lit("")), r"^([^.\n]{1,80})", 1)
-    ascii_only = ~F.concat(quote, F.coalesce("source", F.lit(""))).rlike(r"[^\x00-\x7F]")
     j = c.join(s.withColumn("had", F.lit(True)), "item_id", "left")
-    state = F.when(F.col("had").isNull(), "missing").when(~ascii_only, "skipped").when(X.quote_in(F.coalesce("source", F.lit("")), quote), "current").otherwise("changed")
+    state = F.when(F.col("had").isNull(), "missing").when(X.quote_in(F.coalesce("source", F.lit("")), quote), "current").otherwise("changed")
     return j.select(state.alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
