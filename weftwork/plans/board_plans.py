@@ -131,11 +131,17 @@ def jn22_mentions(spark, folder):
 
 
 def jn23_strongest_relation(spark, folder):
-    """The strongest of several reasons that tie a comment to an item: its own, named, or by the same person (JN23, ST1, ST6)."""
+    """The strongest of several reasons that tie a comment to an item: its own, named, or by the same person (JN23, ST1, ST6).
+
+    A comment and an item of one workspace are by the same person if the comment's author reported the item or has it.
+    The SQL has the first two reasons only. SURVEY JN23's quoted and similar tiers aren't built."""
     c, s = table(spark, folder, "comments").filter("item_id IS NOT NULL"), items(spark, folder)
     own = c.join(s.select("item_id"), "item_id").select("row_id", "item_id", F.lit(0).alias("p"))
     named = jn22_mentions(spark, folder).select("row_id", "item_id", F.lit(1).alias("p"))
-    best = own.unionByName(named).groupBy("row_id", "item_id").agg(F.min("p").alias("p"))
+    people = s.select("workspace_id", "item_id", F.explode(F.array_distinct(F.array("assignee.id", "reporter.id"))).alias("person")).filter("person IS NOT NULL")
+    every = table(spark, folder, "comments").select("row_id", "workspace_id", F.col("author.id").alias("person"))
+    same = every.join(people, ["workspace_id", "person"]).select("row_id", "item_id", F.lit(2).alias("p"))
+    best = own.unionByName(named).unionByName(same).groupBy("row_id", "item_id").agg(F.min("p").alias("p"))
     return best.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -72,7 +72,7 @@ def ag13_references(spark, folder):
 
 
 def ag15_file_rank(spark, folder):
-    """How much a file is used (AG15, SL6): the first 40 of each repository."""
+    """How much a file is used by imports (SL6; of AG15 neither cross-file references nor top names): the first 40 of each repository."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("repo").orderBy(F.desc("rank"), "path")
