@@ -1,0 +1,15 @@
+from __future__ import annotations
+
+from weftwork.llm.secrets import find_secrets
+
+BODY = "aB3dE5gH7jK9mN1pQ2sT4vW6xY8zC0eF"
+
+
+def test_every_issuer_prefix_is_looked_at():
+    for key in ("ghu_" + BODY + "Gh12", "sk_" + "test_" + BODY, "rk_" + "test_" + BODY):
+        assert [(i, s, e) for i, s, e, _ in find_secrets([f'    send("{key}")'])] == [(0, 10, 10 + len(key))]
+
+
+def test_split_secret_is_followed_to_its_end():
+    lines = ['password = ("q7Rt9Lm2"', '    "Vx4Kd8Wz"', '    "Hn3Pb6Ys"', '    "Jc5Gf1Tq")', 'title = "plain"']
+    assert [i for i, *_ in find_secrets(lines)] == [0, 1, 2, 3]

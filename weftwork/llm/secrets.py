@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 # Words whose presence makes a line worth a look, in lower case.
 KEYWORDS = [
     "pass", "pwd", "secret", "token", "key", "auth", "bearer", "basic ", "credential", "contraseña", "passwort", "kennwort", "пароль", "密码", "パスワード",
-    "jwt", "://", "curl ", "private key", "akia", "asia", "ghp_", "gho_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_live_", "rk_live_",
-    "hf_", "npm_", "sg.", "eyj", "aiza", "_live_", "dop_v1_", "pypi-", "value:", "services/t",
+    "jwt", "://", "curl ", "private key", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_live_", "rk_live_",
+    "hf_", "npm_", "sg.", "eyj", "aiza", "_live_", "sk_test_", "rk_test_", "dop_v1_", "pypi-", "value:", "services/t",
 ]
 
 # The public formats of issuers' keys.
@@ -263,11 +263,16 @@ def find_secrets(lines: list[str | None] | None) -> list[tuple[int, int, int, st
             if before and names_secret(before["name"]) and usable(m["v"]) or not i and strong(m["v"]):
                 found[i] = [(m.start("v"), m.end("v"), "named")]
         elif (m := OPEN_STRING.search(line)) is not None:
-            after = NEXT_STRING.match(lines[i + 1]) if i + 1 < len(lines) else None
-            whole = m["v"] + (after["v"] if after else "")
+            after: list[re.Match] = []
+            while i + 1 + len(after) < len(lines) and (more := NEXT_STRING.match(lines[i + 1 + len(after)])) is not None:
+                after.append(more)
+                if re.search(r"[;),]\s*$", lines[i + len(after)]):
+                    break
+            whole = m["v"] + "".join(x["v"] for x in after)
             if after and (ISSUER.fullmatch(whole) or names_secret(m["name"]) and strong(whole)):
                 found[i] = [(m.start("v"), m.end("v"), "split")]
-                found[i + 1] = [(after.start("v"), after.end("v"), "split")]
+                for j, x in enumerate(after, i + 1):
+                    found[j] = [(x.start("v"), x.end("v"), "split")]
             elif i + 1 == len(lines) and BEGINNING.match(m["v"]):
                 found[i] = [(m.start("v"), m.end("v"), "split")]
     if 0 not in found and (m := NEXT_STRING.match(lines[0])) is not None and re.search(r"[;)]\s*$", lines[0]) and len(m["v"]) >= 8 and not m["v"].endswith("\\n") and len(set(m["v"])) > 6 and mixed(m["v"]) and any(c.isdigit() for c in m["v"]):
