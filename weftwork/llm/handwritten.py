@@ -1,11 +1,19 @@
 """Files that weren't written by hand for the project: generated, shrunk, copied from elsewhere, or data kept as code.
 
-A Re-Pair grammar is inferred over the tokens of each excerpt and over the facts of each file. Its rules tell two
-things. Much reuse of few rules is code made by a tool, and over short names code shrunk by one. Literals that even a grammar can't
-shorten, and hardly anything else, are data. Spans of facts that a file shares with files in a
-folder for foreign code, or with several repositories, are a copy of foreign code, wherever it lies: spans start at every
-fact token, so that an edit changes only those across it, while Re-Pair's pairs shift with it. The marks that tools leave in names and in the first lines decide where a grammar
-can't: most generators' output follows the same grammar as what people write from a template (figures in the README).
+Grammars of pairs are inferred over the tokens of every distinct content, its facts and its excerpts:
+
+* Re-Pair replaces the most frequent pair first. What its rules save is the reuse within a file: much of it is code made by
+  a tool, over short names code shrunk by one. Literals that even a grammar can't shorten, and hardly anything else, are
+  data; so is a file whose many lines yield next to no tokens for a grammar.
+* Re-Pair by recompression chooses the pairs by bits of the symbols' hashes instead of their counts, and names a rule by
+  what it stands for. So equal passages get equal rules in all files of all repositories, and an edit changes only the
+  rules across it. The rules' table says in how many repositories each occurs: contents whose rules recur in other
+  repositories are shared; folders whose contents are mostly shared hold foreign code, and a file elsewhere whose rules
+  come from such a folder, or from many repositories, is a copy of it.
+
+A list of usual folder names is the prior of the folders' test, which the counts of shared contents outweigh. Generators'
+output is mostly written from a template and has no more reuse than other code (figures in the README); the marks that
+tools leave in names and in the first lines decide there.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.session import materialised
@@ -29,15 +37,18 @@ SAVED, SHORT_NAMES = 0.5, 0.6
 FACTS_SAVED = 0.3
 #: Share of an excerpt's characters in literals, and the most that rules may save of them, from which it's data.
 LITERALS, LITERALS_SAVED = 0.75, 0.3
-#: Tokens of a span of facts, and the share of a file's spans that a copy has in common with foreign code.
-LEAST_SPAN, SPAN = 8, 0.5
-#: A span in so many repositories is foreign in any folder, for files of LEAST_SPAN spans; people repeat their own files in two or three.
-REPOSITORIES = 5
-#: A file of so many lines, or too large to be read whole, that defines and calls next to nothing is data.
-DATA_LINES = 5000
-
-# Folders for foreign code.
-FOREIGN = r"(?i)(^|/)(node_modules|bower_components|jspm_packages|third[_-]?party|_?vendor|vendored|site-packages|dist-packages|externals?|deps)/|(^|/)static/lib/"
+#: Tokens of a rule that says something about a content, and the share of a content's rules that makes it shared or a copy.
+RULE_TOKENS, COPIED = 4, 0.5
+#: Rules in so many repositories are foreign in any folder, for contents of LEAST_RULES rules; people repeat their own files in two or three.
+REPOSITORIES, LEAST_RULES = 5, 8
+#: A folder holds foreign code from this share of shared contents on. A usual name counts as one shared content of two;
+#: any other folder needs KNOWN contents in SPREAD repositories, and LEARNED of them shared.
+SHARED, KNOWN, SPREAD, LEARNED = 0.1, 20, 3, 0.8
+#: So many lines for each fact and one more: a file of more is data.
+LINES_A_FACT = 2500
+
+# Usual names of folders for foreign code.
+FOREIGN = r"(?i)^(node_modules|bower_components|jspm_packages|third[_-]?party|_?vendor|vendored|site-packages|dist-packages|externals?|deps|static/lib)$"
 # Names that tools give.
 MADE_NAME = (
     r"(_pb2(_grpc)?\.pyi?|_pb\.(js|ts|d\.ts)|_grpc_web_pb\.js|\.pb\.go|\.graphql\.(ts|js)|[._]generated\.\w+|\.g\.(ts|js|dart|py)|\.gen\.(ts|js|py|go)|_gen\.go|\.designer\.\w+)$|(^|/)(__generated__|generated)/"
@@ -51,7 +62,7 @@ MADE_MARK = re.compile(
     re.I,
 )
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|\"\"\"|''')")
-#: Lines of a file in which a generator's mark is looked for.
+#: The head of a file, in which a generator's mark stands: comments that begin within so many lines.
 HEAD_LINES = 10
 # Fixed value: the hash of an empty file.
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -125,24 +136,82 @@ def repair(tokens: list[int]) -> tuple[list[int], dict[int, tuple[int, int]]]:
     return [x for x in seq if x is not None], rules
 
 
-def saved(tokens: list[str]) -> float:
-    """The share of a sequence that its grammar saves: 0 for none, near 1 for endless repetition."""
-    if len(tokens) < 2:
+def saved(tokens: list[str], least: float = 0.0) -> float:
+    """The share of a sequence that its grammar saves: 0 for none, near 1 for endless repetition.
+
+    A grammar isn't inferred, and 0 returned, if it can't save `least`: every distinct pair of neighbours lies across the
+    two sides of a rule or of the rest, so rest and rules together are more than the distinct pairs, and every token occurs.
+    """
+    n = len(tokens)
+    if n < 2:
         return 0.0
     number: dict[str, int] = {}
-    rest, rules = repair([number.setdefault(t, len(number)) for t in tokens])
-    return 1 - (len(rest) + 2 * len(rules)) / len(tokens)
-
-
-def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tuple[bool, bool, bool]:
-    """Whether an excerpt bears a generator's mark or reuses rules as only a generator does, is shrunk code, is data."""
+    seq = [number.setdefault(t, len(number)) for t in tokens]
+    if 1 - max(len(number), len(set(zip(seq, seq[1:]))) + 1) / n < least:
+        return 0.0
+    rest, rules = repair(seq)
+    return 1 - (len(rest) + 2 * len(rules)) / n
+
+
+_MASK = (1 << 64) - 1
+
+
+def _named(a: int, b: int) -> int:
+    """The name of the rule that stands for a and b: a hash, the same in every file."""
+    x = (a * 0x9E3779B97F4A7C15 + b) & _MASK
+    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
+    return x ^ (x >> 32)
+
+
+def shared_rules(tokens: list[str], least: int = RULE_TOKENS) -> list[int]:
+    """Names of the rules of at least `least` tokens, by recompression: in each round runs of one symbol become a rule, and
+    so does every pair whose first symbol has a 0 and whose second a 1 at the round's bit. Equal passages give equal rules,
+    but for a few at their ends, wherever they stand. Time is linear: a round leaves about three quarters."""
+    seq = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens]
+    size = [1] * len(seq)
+    found: set[int] = set()
+    for bit in range(64):
+        n = len(seq)
+        if n < 2:
+            break
+        one, ones, i = [], [], 0
+        while i < n:
+            j = i + 1
+            while j < n and seq[j] == seq[i]:
+                j += 1
+            if j - i > 1:
+                one.append(_named(seq[i], j - i))
+                ones.append(size[i] * (j - i))
+                if ones[-1] >= least:
+                    found.add(one[-1])
+            else:
+                one.append(seq[i])
+                ones.append(size[i])
+            i = j
+        seq, size, i, n = [], [], 0, len(one)
+        while i < n:
+            if i + 1 < n and not one[i] >> bit & 1 and one[i + 1] >> bit & 1:
+                seq.append(_named(one[i], one[i + 1]))
+                size.append(ones[i] + ones[i + 1])
+                if size[-1] >= least:
+                    found.add(seq[-1])
+                i += 2
+            else:
+                seq.append(one[i])
+                size.append(ones[i])
+                i += 1
+    return sorted(h - (1 << 64) if h >> 63 else h for h in found)
+
+
+def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tuple[bool, bool, bool, bool]:
+    """Whether an excerpt bears a generator's mark, reuses rules as only a generator does, is shrunk code, is data."""
     lines = [x or "" for x in lines or []]
     head = HEAD_LINES - (start_line if start_line is not None else 10**9) + 1
     marked = any(COMMENT.match(x) and MADE_MARK.search(x) for x in lines[: max(0, head)])
     total = sum(len(x.strip()) for x in lines)
     tokens = [t for x in lines for t in TOKEN.findall(x)]
     if len(tokens) < LEAST_TOKENS and total < 400:
-        return marked, False, False
+        return marked, False, False, False
     names = [t for t in tokens if t[0].isalpha() or t[0] == "_"]
     own = [t for t in names if t not in ("function", "return", "var", "let", "const", "if", "for", "new", "this", "void", "in", "of", "do")]
     literals = [t for t in tokens if t[0].isdigit() or DATA_STRING.match(t)]
@@ -150,13 +219,13 @@ def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tup
     shrunk = False
     if own and sum(len(t) <= 2 for t in own) >= SHORT_NAMES * len(own) and len(own) >= 20:
         shape = ["n" if t[0].isalpha() and len(t) <= 2 else "0" if t[0].isdigit() else t for t in tokens]
-        shrunk = saved(shape) >= SAVED
+        shrunk = saved(shape, SAVED) >= SAVED
     data = False
     size = sum(map(len, literals)) + 4 * len(literals)
     if bare < 0.5 * total and len(literals) >= 20 and size >= LITERALS * (total - sum(x.count(" ") for x in lines)) * 0.9 and len(names) <= 0.1 * len(tokens):
         data = saved(literals) <= LITERALS_SAVED
-    made = marked or not shrunk and len(tokens) >= LEAST_TOKENS and saved(tokens) >= SAVED
-    return made, shrunk, data
+    made = not shrunk and len(tokens) >= LEAST_TOKENS and saved(tokens, SAVED) >= SAVED
+    return marked, made, shrunk, data
 
 
 def fact_tokens(row: dict) -> list[str]:
@@ -174,92 +243,110 @@ def fact_tokens(row: dict) -> list[str]:
 
 
 def fact_marks(row: dict) -> tuple[bool, bool, bool, list[int]]:
-    """Whether the facts are those of code made by a tool, of shrunk code, of data, and the hashes of all spans of them."""
+    """Whether the facts are those of code made by a tool, of shrunk code, of data, and the names of their shared rules."""
     names = [x["name"] or "" for x in filter(None, row["definitions"] or [])]
-    loc, calls = row["loc"] or 0, row["calls"] or []
-    shrunk = len(names) >= 10 and sum(len(x) <= 2 for x in names) >= SHORT_NAMES * len(names)
-    data = (loc >= DATA_LINES or bool(row["truncated"])) and len(names) <= 1 and len(calls) <= 1 and not row["imports"]
+    facts = len(names) + sum(len(row[c] or []) for c in ("calls", "imports", "inheritance"))
+    data = (row["loc"] or 0) >= LINES_A_FACT * (1 + facts) or bool(row["truncated"]) and facts <= 1
     tokens = fact_tokens(row)
-    made = not shrunk and len(tokens) >= LEAST_TOKENS and saved(tokens) >= FACTS_SAVED
-    spans: set[int] = set()
-    for i in range(len(tokens) - LEAST_SPAN + 1):
-        h = xxhash.xxh3_64_intdigest("\x1f".join(tokens[i : i + LEAST_SPAN]).encode("utf-8", "surrogatepass"))
-        spans.add(h - (1 << 64) if h >> 63 else h)
-    return made, shrunk, data, sorted(spans)
+    reused = len(tokens) >= LEAST_TOKENS and saved(tokens, FACTS_SAVED) >= FACTS_SAVED
+    short = sum(len(x) <= 2 for x in names) >= SHORT_NAMES * len(names) if names else False
+    return reused and not short, reused and short, data, shared_rules(tokens)
 
 
 FACTS = ["definitions", "imports", "calls", "inheritance", "loc", "truncated"]
 
 
-def file_evidence(facts: DataFrame) -> DataFrame:
-    """repo, path, content_hash, blank, made, shrunk, data, spans of every row of facts_py."""
-    keep = facts.schema["repo"], facts.schema["path"], facts.schema["content_hash"]
+def content_evidence(contents: DataFrame) -> DataFrame:
+    """key, blank, made, shrunk, data, rules of every distinct content: key and the columns of FACTS, content_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple] = {}
         for b in batches:
             found = []
             hashes = b["content_hash"].to_pylist()
-            columns = {c: b[c] for c in FACTS}
+            columns = {c: b[c].to_pylist() for c in FACTS}
             for i, h in enumerate(hashes):
-                key = (h, columns["loc"][i].as_py(), columns["truncated"][i].as_py())
-                if h is None or key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    row = {c: columns[c][i].as_py() for c in FACTS}
-                    empty = h == EMPTY_HASH or (row["loc"] or 0) <= 1 and not any(row[c] for c in FACTS[:4])
-                    seen[key] = (empty, *fact_marks(row))
-                found.append(seen[key])
+                row = {c: columns[c][i] for c in FACTS}
+                empty = h == EMPTY_HASH or (row["loc"] or 0) <= 1 and not any(row[c] for c in FACTS[:4])
+                found.append((empty, *fact_marks(row)))
             cols = list(zip(*found)) if found else [[], [], [], [], []]
             kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b[c] for c in ("repo", "path", "content_hash")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo", "path", "content_hash", "blank", "made", "shrunk", "data", "spans"])
+            yield pa.RecordBatch.from_arrays([b["key"], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["key", "blank", "made", "shrunk", "data", "rules"])
 
-    assert all(f.dataType.simpleString() == "string" for f in keep)
-    return facts.select("repo", "path", "content_hash", *FACTS).mapInArrow(run, "repo string, path string, content_hash string, blank boolean, made boolean, shrunk boolean, data boolean, spans array<long>")
+    return contents.select("key", "content_hash", *FACTS).mapInArrow(run, "key long, blank boolean, made boolean, shrunk boolean, data boolean, rules array<long>")
 
 
 def excerpt_evidence(excerpts: DataFrame) -> DataFrame:
-    """repo, path, marked, shrunk, data of every row of context."""
+    """repo, path, marked, made, shrunk, data of every row of context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [excerpt_marks(x, s) for x, s in zip(b["lines"].to_pylist(), b["start_line"].to_pylist())]
-            cols = list(zip(*found)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b["repo"], b["path"], *(pa.array(c, pa.bool_()) for c in cols)], names=["repo", "path", "marked", "shrunk", "data"])
+            cols = list(zip(*found)) if found else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([b["repo"], b["path"], *(pa.array(c, pa.bool_()) for c in cols)], names=["repo", "path", "marked", "made", "shrunk", "data"])
+
+    return excerpts.select("repo", "path", "lines", "start_line").mapInArrow(run, "repo string, path string, marked boolean, made boolean, shrunk boolean, data boolean")
+
+
+def folders_of(path: Column) -> Column:
+    """The names of a file's folders, and those of each two in a row."""
+    parts = F.split(F.lower(path), "/")
+    names = F.slice(parts, 1, F.size(parts) - 1)
+    pairs = F.zip_with(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), lambda a, b: F.concat_ws("/", a, b))
+    return F.array_distinct(F.concat(names, pairs))
+
 
-    return excerpts.select("repo", "path", "lines", "start_line").mapInArrow(run, "repo string, path string, marked boolean, shrunk boolean, data boolean")
+def foreign_folders(files: DataFrame, shared: DataFrame) -> DataFrame:
+    """folder: the folder names under which contents mostly recur in other repositories. files: repo, path, key; shared: key."""
+    under = files.select("repo", "key", F.explode(folders_of(F.col("path"))).alias("folder")).distinct().join(shared.select("key", F.lit(1).alias("s")), "key", "left")
+    n = under.groupBy("folder", "key").agg(F.max(F.coalesce("s", F.lit(0))).alias("s"), F.count(F.lit(1)).alias("repos")).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("k"))
+    repos = under.select("folder", "repo").distinct().groupBy("folder").agg(F.count(F.lit(1)).alias("repos"))
+    usual = F.col("folder").rlike(FOREIGN)
+    listed = usual & (F.col("k") + 1 >= SHARED * (F.col("n") + 2))
+    learned = ~usual & (F.col("n") >= KNOWN) & (F.col("repos") >= SPREAD) & (F.col("k") >= LEARNED * F.col("n"))
+    return n.join(repos, "folder").filter(listed | learned).select("folder")
 
 
 def made_files(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
     """repo, path, reasons: the files of facts_py, in any snapshot, that weren't written by hand for the project.
 
-    reasons is an array of 'foreign', 'copy', 'made', 'shrunk', 'data'. A file without excerpts is judged by its facts.
-    Rows with a null repo or path name no file and are ignored. An empty file is a case only in a folder for foreign code.
+    reasons is an array of 'foreign', 'copy', 'made' (by the grammar), 'marked' (by a tool's name or mark), 'shrunk',
+    'named_shrunk', 'data'. A file without excerpts is judged by its facts. Rows with a null repo or path name no file and
+    are ignored. An empty file is a case only in a folder for foreign code. Extra columns are ignored.
     """
-    seen = materialised(file_evidence(facts.filter("repo IS NOT NULL AND path IS NOT NULL")).withColumn("foreign", F.col("path").rlike(FOREIGN)))
-    no = F.lit(False)
-    contents = seen.filter("NOT blank").select("repo", "path", "foreign", "content_hash", "spans").distinct()
-    foreign = contents.filter("foreign")
-    home = contents.filter("NOT foreign")
-    hashes = foreign.select("content_hash").filter("content_hash IS NOT NULL").distinct()
-    repo = F.xxhash64("repo").alias("r")
-    known = contents.select(repo, "foreign", "spans").distinct().select("r", "foreign", F.explode("spans").alias("span")).groupBy("span", "r").agg(F.max("foreign").alias("anchored"))
-    known = known.groupBy("span").agg(F.max("anchored").alias("anchored"), (F.count(F.lit(1)) >= REPOSITORIES).alias("spread")).filter("anchored OR spread")
-    id_ = F.xxhash64("spans").alias("content")
-    spans = home.select("spans").distinct().select(id_, F.size("spans").alias("n"), F.explode("spans").alias("span"))
-    shared = spans.join(known, "span").groupBy("content", "n").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("anchored", "spread")])
-    copied = (F.col("anchored") >= SPAN * F.col("n")) | ((F.col("n") >= LEAST_SPAN) & (F.col("spread") >= SPAN * F.col("n")))
-    copies = home.join(hashes, "content_hash", "left_semi").select("repo", "path").unionByName(
-        home.select("repo", "path", id_).join(shared.filter(copied).select("content"), "content", "left_semi").select("repo", "path")
-    )
-    columns = ["repo", "path", "listed", "foreign", "copy", "made", "shrunk", "data"]
-    yes = F.lit(True)
-    parts = [
-        seen.select("repo", "path", yes.alias("listed"), "foreign", no.alias("copy"), (F.col("made") | F.col("path").rlike(MADE_NAME)).alias("made"), (F.col("shrunk") | F.col("path").rlike(SHRUNK_NAME)).alias("shrunk"), "data"),
-        copies.select("repo", "path", no.alias("listed"), no.alias("foreign"), yes.alias("copy"), no.alias("made"), no.alias("shrunk"), no.alias("data")),
-        excerpt_evidence(excerpts).filter("marked OR shrunk OR data").select("repo", "path", no.alias("listed"), no.alias("foreign"), no.alias("copy"), F.col("marked").alias("made"), "shrunk", "data"),
+    rows = facts.filter("repo IS NOT NULL AND path IS NOT NULL").select("repo", "path", "content_hash", *FACTS)
+    rows = rows.withColumn("key", F.xxhash64("content_hash", *FACTS))
+    files = materialised(rows.select("repo", "path", "content_hash", "key").distinct())
+    contents = materialised(content_evidence(rows.drop("repo", "path").dropDuplicates(["key"])))
+    full = contents.filter("NOT blank")
+    # rules and the repositories they occur in; equal contents are one
+    held = files.select("key", F.xxhash64("repo").alias("r")).distinct()
+    rules = full.select("key", F.explode("rules").alias("rule"))
+    spread = rules.join(held, "key").groupBy("rule", "r").agg(F.lit(1).alias("one")).groupBy("rule").agg(F.count(F.lit(1)).alias("repos"))
+    per = rules.join(spread.filter("repos > 1"), "rule").groupBy("key").agg(F.count(F.lit(1)).alias("two"), F.sum((F.col("repos") >= REPOSITORIES).cast("long")).alias("many"))
+    rated = materialised(full.select("key", F.size("rules").alias("n")).join(per, "key", "left").fillna(0))
+    hashes = files.filter("content_hash IS NOT NULL").join(full.select("key"), "key", "left_semi").groupBy("content_hash").agg(F.max("repo").alias("last"), F.min("repo").alias("first")).filter("first < last")
+    shared = rated.filter((F.col("n") > 0) & (F.col("two") >= COPIED * F.col("n"))).select("key").unionByName(files.join(hashes, "content_hash", "left_semi").select("key")).distinct()
+    folders = foreign_folders(files.join(full.select("key"), "key", "left_semi"), shared)
+    foreign = materialised(files.select("repo", "path", "key", "content_hash", F.explode(folders_of(F.col("path"))).alias("folder")).join(folders, "folder", "left_semi").select("repo", "path", "key", "content_hash").distinct())
+    home = files.join(foreign.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
+    source = foreign.select("key").distinct().join(full.select("key", "rules"), "key")
+    anchored = source.select(F.explode("rules").alias("rule")).distinct()
+    near = rules.join(anchored, "rule", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("anchored"))
+    copied = rated.join(near, "key", "left").filter((F.col("n") > 0) & ((F.coalesce("anchored", F.lit(0)) >= COPIED * F.col("n")) | ((F.col("n") >= LEAST_RULES) & (F.col("many") >= COPIED * F.col("n")))))
+    same = foreign.filter("content_hash IS NOT NULL").join(full.select("key"), "key", "left_semi").select("content_hash").distinct()
+    copies = home.join(copied.select("key"), "key", "left_semi").select("repo", "path").unionByName(home.join(same, "content_hash", "left_semi").select("repo", "path"))
+    kinds = ["foreign", "copy", "made", "marked", "shrunk", "named_shrunk", "data"]
+
+    def part(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("repo", "path", *[given.get(k, F.lit(False)).alias(k) for k in kinds], given.get("listed", F.lit(False)).alias("listed"))
+
+    every = [
+        part(files.join(contents, "key"), made=F.col("made"), shrunk=F.col("shrunk"), data=F.col("data"), marked=F.col("path").rlike(MADE_NAME), named_shrunk=F.col("path").rlike(SHRUNK_NAME), listed=F.lit(True)),
+        part(foreign, foreign=F.lit(True)),
+        part(copies, copy=F.lit(True)),
+        part(excerpt_evidence(excerpts).filter("marked OR made OR shrunk OR data"), made=F.col("made"), marked=F.col("marked"), shrunk=F.col("shrunk"), data=F.col("data")),
     ]
-    every = parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))
-    files = every.groupBy("repo", "path").agg(*[F.max(c).alias(c) for c in columns[2:]]).filter("listed")
-    reasons = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in columns[3:]]))
-    return files.select("repo", "path", reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    whole = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    out = whole.groupBy("repo", "path").agg(*[F.max(c).alias(c) for c in [*kinds, "listed"]]).filter("listed")
+    reasons = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in kinds]))
+    return out.select("repo", "path", reasons.alias("reasons")).filter(F.size("reasons") > 0)
