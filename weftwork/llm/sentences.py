@@ -1,14 +1,18 @@
 """Sentence units across languages and scripts.
 
-Lines are first grouped into blocks: paragraphs, headings, list items and fenced code. Within a block, every place where
-a sentence might end is a candidate, and semi-Markov dynamic programming chooses the whole spans whose joint score is
-best. A span is scored by its length, by the words that close it (end marks, abbreviations, initials, ordinals), by the
-words that open it, and by whether its quotes and brackets balance. Which words open sentences is counted over the whole
-corpus, at the starts of blocks, where sentences certainly start.
+Lines are first grouped into blocks: paragraphs, headings, list items and fenced code. Within a block, every end mark is a
+place where a sentence might end, and semi-Markov dynamic programming chooses the whole spans whose joint score is best.
+A span is scored by its length; by the words that close it (end marks, abbreviations, initials, ordinals) together with
+those that open the next; by whether its quotes and brackets balance; and by how well the words that open it fit the mark
+that closes it. Which words open sentences, and which of them questions, is counted over the whole corpus: at the starts of
+blocks, where sentences certainly start, and over blocks that hold one end mark, which are certainly one sentence.
+The search is exact for texts of any length: beyond LONG_REACH characters a span's length costs the same, so the best
+earlier place is a running maximum.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -19,12 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The opening words kept, by count; the lexicon that goes to all tasks has no more.
-MAX_OPENERS = 20_000
-#: An opening word must start at least this share of all blocks, and MIN_COUNT of them.
+from weftwork.session import materialised
+
+#: An opening word must start at least this share of all blocks, and MIN_COUNT of them; so there are 1 / MIN_SHARE at most.
 MIN_SHARE, MIN_COUNT = 2e-5, 3
-#: A span reaches over at most so many candidates that score too low to end a sentence by themselves.
-MAX_REACH = 400
+#: Characters from which a span's length costs, the cost of each further one, and the most that it costs.
+LONG, LONG_COST, LONG_MOST = 500, 0.002, 4.0
+LONG_REACH = int(LONG + LONG_MOST / LONG_COST)
+#: What an opening and a closing that go together count at most.
+FIT = 0.5
+#: What a quote or bracket that is open at an end of a span costs.
+UNBALANCED = 7.0
 
 LINE = re.compile(r"[^\r\n\x0b\x0c\x85  ]*(?:\r\n|[\r\n\x0b\x0c\x85  ]|$)")
 FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
@@ -32,6 +41,7 @@ HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s+|$)")
 ITEM = re.compile(r"\s*(?:[-*+•‣–]|(\d{1,9})[.)])\s+")
 
 END = r".!?…。！？｡．؟۔।॥‼⁇⁈⁉"
+ASKING = "?？؟⁇⁈⁉"
 CLUSTER = re.compile(rf"[{END}]+(?:\s?[»›]|[)\]}}\"'”’“」』）】〉》›»])*")
 OPENING = "«„「『（([【《〈‹‚"
 CLOSING = {"»": "«", "」": "「", "』": "『", "）": "（(", ")": "(（", "]": "[", "】": "【", "》": "《", "〉": "〈", "›": "‹"}
@@ -89,7 +99,7 @@ def opener_key(text: str, at: int, end: int) -> str:
         return "id_"
     if any(x.isupper() for x in w[1:]) and not w.isupper():
         return "Id"
-    return re.split(r"['’]", w)[0][:24]
+    return re.split(r"['’]", w)[0]
 
 
 def blocks(text: str) -> Iterator[tuple[str, int, int]]:
@@ -169,7 +179,7 @@ def pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return found
 
 
-def _ending(text: str, s: int, mark: int, stop: int, e: int, openers: set[str]) -> float:
+def _ending(text: str, s: int, mark: int, stop: int, e: int, openers: dict[str, tuple[float, float]]) -> float:
     """The evidence that a sentence ends at `stop`, after end marks that begin at `mark`: closing and opening words."""
     cluster = text[mark:stop]
     marks = cluster.rstrip(")]}\"'”’“」』）】〉》›»   ")
@@ -210,7 +220,7 @@ def _ending(text: str, s: int, mark: int, stop: int, e: int, openers: set[str])
         if marks == "．" and first.isdigit() and not gap:
             return -6.0
         return 5.0 if not lower or opens else 3.0
-    # a full stop
+    # a full stop; every shortened word is shorter than 40 characters, so a longer token need not be seen whole
     m = TOKEN_BEFORE.search(text, max(s, mark - 40), mark)
     word = m[0].lower() if m else ""
     bare = word.lstrip("*_`-")
@@ -243,9 +253,9 @@ def _ending(text: str, s: int, mark: int, stop: int, e: int, openers: set[str])
     return 3.5
 
 
-def cut(text: str, s: int, e: int, openers: set[str]) -> Iterator[tuple[int, int]]:
-    """The sentences of a block, by dynamic programming over its candidate ends."""
-    ends: list[tuple[int, float]] = []
+def cut(text: str, s: int, e: int, openers: dict[str, tuple[float, float]]) -> Iterator[tuple[int, int]]:
+    """The sentences of a block: of all ways to cut it at its end marks, the one whose spans score best together."""
+    ends: list[tuple[int, float, int]] = []
     inside = pairs(text, s, e)
     opened, closed = {o for o, _ in inside}, {c for _, c in inside}
     for m in CLUSTER.finditer(text, s, e):
@@ -254,8 +264,7 @@ def cut(text: str, s: int, e: int, openers: set[str]) -> Iterator[tuple[int, int
             if at in opened or text[at] == "“" and at not in closed:
                 stop = at
                 break
-        if (score := _ending(text, s, m.start(), stop, e, openers)) > -5:
-            ends.append((stop, score))
+        ends.append((stop, _ending(text, s, m.start(), stop, e, openers), int(any(c in ASKING for c in m[0]))))
     if re.search(f"[{THAI}]", text[s:e]):
         for m in THAI_GAP.finditer(text, s, e):
             a, b = text[m.start() - 1], text[m.end()]
@@ -264,34 +273,48 @@ def cut(text: str, s: int, e: int, openers: set[str]) -> Iterator[tuple[int, int
                 continue
             left, right = "฀" <= a <= "๿", "฀" <= b <= "๿"
             if left and right:
-                ends.append((m.start(), 4.0 if key in openers else 2.0))
+                ends.append((m.start(), 4.0 if key in openers else 2.0, 0))
             elif left and b.isupper() and key in openers and key not in ("KEY-", "Id", "id_"):
-                ends.append((m.start(), 2.0))
+                ends.append((m.start(), 2.0, 0))
             elif left and not b.isalnum() and b not in "([{`@#$%&+-=<>~/" and key in openers:
-                ends.append((m.start(), 1.0))
-    if not ends:
+                ends.append((m.start(), 1.0, 0))
+    if not ends or len(ends) == 1 and ends[0][0] >= e:
         yield s, e
         return
     ends.sort()
     if ends[-1][0] < e:
-        ends.append((e, 10.0))
-    stops = [s, *(p for p, _ in ends)]
-    depth = [0] * len(stops)
+        ends.append((e, 10.0, 0))
+    stops = [s, *(p for p, *_ in ends)]
+    n = len(stops)
     starts, closes = sorted(o for o, _ in inside), sorted(c for _, c in inside)
-    for k, p in enumerate(stops[1:-1], 1):
-        depth[k] = bisect_left(starts, p) - bisect_left(closes, p)
-    best, back = [0.0] + [-1e18] * (len(stops) - 1), [0] * len(stops)
-    for j in range(1, len(stops)):
-        gain = ends[j - 1][1]
-        for i in range(j - 1, max(-1, j - 1 - MAX_REACH), -1):
-            size = stops[j] - stops[i]
-            length = -3.0 if size < 3 else -0.002 * (size - 500) if size > 500 else 0.0
-            if size > 500 and i < j - 1 and best[j] > best[i] + gain + length and size > 6000:
-                break
-            score = best[i] + gain + length - 7.0 * (depth[j] + depth[i])
-            if score > best[j]:
-                best[j], back[j] = score, i
-    chosen, j = [], len(stops) - 1
+    tilt = [0.0] * n
+    if inside:
+        for k in range(1, n - 1):
+            tilt[k] = UNBALANCED * (bisect_left(starts, stops[k]) - bisect_left(closes, stops[k]))
+    fits = [openers.get(opener_key(text, p, e), (0.0, 0.0)) for p in stops[:-1]]
+    best, back = [0.0] + [-1e18] * (n - 1), [0] * n
+    # beyond LONG_REACH only what belongs to the place itself counts: the best such place for each kind of closing mark
+    far, far_at, done = [-1e18, -1e18], [0, 0], 0
+    for j in range(1, n):
+        stop, gain, asks = ends[j - 1]
+        gain -= tilt[j]
+        while done < j and stop - stops[done] > LONG_REACH:
+            for mark in (0, 1):
+                if (x := best[done] - tilt[done] + fits[done][mark]) > far[mark]:
+                    far[mark], far_at[mark] = x, done
+            done += 1
+        top, where = far[asks] - LONG_MOST, far_at[asks]
+        for i in range(done, j):
+            size = stop - stops[i]
+            x = best[i] - tilt[i] + fits[i][asks]
+            if size > LONG:
+                x -= LONG_COST * (size - LONG)
+            elif size < 3:
+                x -= 3.0
+            if x >= top:
+                top, where = x, i
+        best[j], back[j] = top + gain, where
+    chosen, j = [], n - 1
     while j:
         chosen.append((stops[back[j]], stops[j]))
         j = back[j]
@@ -304,7 +327,11 @@ def cut(text: str, s: int, e: int, openers: set[str]) -> Iterator[tuple[int, int
             yield a, b
 
 
-def sentences(text: str | None, openers: set[str] = OPENERS) -> list[tuple[int, int]]:
+#: The openers known without a corpus, which say nothing about questions.
+KNOWN_OPENERS = dict.fromkeys(OPENERS, (0.0, 0.0))
+
+
+def sentences(text: str | None, openers: dict[str, tuple[float, float]] = KNOWN_OPENERS) -> list[tuple[int, int]]:
     """start and end of each sentence unit of a text. Null, empty and blank texts have none."""
     if not text:
         return []
@@ -318,39 +345,58 @@ def sentences(text: str | None, openers: set[str] = OPENERS) -> list[tuple[int,
 
 
 def opening_words(documents: DataFrame, text: str = "text") -> DataFrame:
-    """key, n: how many blocks of all texts start with each opening key. Counts are combined before the shuffle."""
+    """key, n, plain, asking: how many blocks of all texts start with each opening key, and how many of those with one end
+    mark close with a plain mark or a question mark. Counts are combined before the shuffle."""
+
+    def flushed(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        values = [pa.array([v[k] for v in counts.values()], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *values], names=["key", "n", "plain", "asking"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: dict[str, list[int]] = {}
         for b in batches:
             for x in b[0].to_pylist():
-                if x:
-                    counts.update(opener_key(x, s, e) for kind, s, e in blocks(x) if kind in ("text", "item"))
-            if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
-                counts.clear()
+                for kind, s, e in blocks(x) if x else ():
+                    if kind in ("text", "item"):
+                        c = counts.setdefault(opener_key(x, s, e), [0, 0, 0])
+                        c[0] += 1
+                        m = CLUSTER.search(x, s, e)
+                        if m and m.end() == e:
+                            c[2 if any(k in ASKING for k in m[0]) else 1] += 1
+            if len(counts) > 200_000:  # memory only: counts are added up later
+                yield flushed(counts)
+                counts = {}
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
-
-    found = documents.select(text).mapInArrow(run, "key string, n long")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def learned_openers(documents: DataFrame, text: str = "text", limit: int = MAX_OPENERS) -> set[str]:
-    """The words that open sentences in the whole corpus, `limit` at most, and those known without one."""
-    words = opening_words(documents, text).filter(f"n >= {MIN_COUNT}").orderBy(F.desc("n"), "key").limit(limit).collect()
-    least = max(MIN_COUNT, MIN_SHARE * sum(r["n"] for r in words))
-    return OPENERS | {r["key"] for r in words if r["n"] >= least and r["key"]}
+            yield flushed(counts)
+
+    found = documents.select(text).mapInArrow(run, "key string, n long, plain long, asking long")
+    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "plain", "asking")])
+
+
+def learned_openers(documents: DataFrame, text: str = "text") -> dict[str, tuple[float, float]]:
+    """The words that open sentences in the whole corpus and those known without one, each with what it counts before a
+    plain closing mark and before a question mark. Only words that start MIN_SHARE of all blocks come to the driver."""
+    words = materialised(opening_words(documents, text))
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "plain", "asking")]).first()
+    least = max(MIN_COUNT, MIN_SHARE * total["n"])
+    usual = math.log((total["asking"] + 1) / (total["plain"] + 1))
+    out = dict(KNOWN_OPENERS)
+    for r in words.filter(F.col("n") >= least).collect():
+        if r["key"]:
+            odds = math.log((r["asking"] + 1) / (r["plain"] + 1)) - usual if r["asking"] + r["plain"] >= 10 else 0.0
+            odds = max(-FIT, min(FIT, 0.1 * odds))
+            out[r["key"]] = (-odds, odds)
+    return out
 
 
-def sentence_units(documents: DataFrame, keep: list[str], text: str = "text", openers: set[str] | None = None) -> DataFrame:
+def sentence_units(documents: DataFrame, keep: list[str], text: str = "text", openers: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """`keep` columns of each document and start_at, end_at (code points, end exclusive) of each of its units.
 
     Whole texts are read, whatever their length; repeated rows yield repeated units. Without `openers` these are counted
     over the table first.
     """
     openers = learned_openers(documents, text) if openers is None else openers
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(openers))
+    shared = documents.sparkSession.sparkContext.broadcast(dict(openers))
     source = documents.select(*keep, documents[text].alias("__text"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField("start_at", T.IntegerType()), T.StructField("end_at", T.IntegerType())])
 
