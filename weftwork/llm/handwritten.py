@@ -228,51 +228,57 @@ def excerpt_marks(lines: list[str | None] | None, start_line: int | None) -> tup
     return marked, made, shrunk, data
 
 
-def fact_tokens(row: dict) -> list[str]:
-    """A file's facts in order, as tokens."""
-    out: list[str] = []
-    for x in filter(None, row["imports"] or []):
-        out += ["import", x["specifier"] or "", *(y or "" for y in x["names"] or [])]
-    for x in filter(None, row["definitions"] or []):
-        out += [x["kind"] or "", x["signature"] or x["name"] or "", x["docstring"] or ""]
-    for x in filter(None, row["calls"] or []):
-        out += ["call", x["callee"] or "", x["enclosing"] or ""]
-    for x in filter(None, row["inheritance"] or []):
-        out += ["extends", x["child"] or "", x["parent_name"] or ""]
-    return out
-
-
-def fact_marks(row: dict) -> tuple[bool, bool, bool, list[int]]:
-    """Whether the facts are those of code made by a tool, of shrunk code, of data, and the names of their shared rules."""
-    names = [x["name"] or "" for x in filter(None, row["definitions"] or [])]
-    facts = len(names) + sum(len(row[c] or []) for c in ("calls", "imports", "inheritance"))
-    data = (row["loc"] or 0) >= LINES_A_FACT * (1 + facts) or bool(row["truncated"]) and facts <= 1
-    tokens = fact_tokens(row)
-    reused = len(tokens) >= LEAST_TOKENS and saved(tokens, FACTS_SAVED) >= FACTS_SAVED
-    short = sum(len(x) <= 2 for x in names) >= SHORT_NAMES * len(names) if names else False
-    return reused and not short, reused and short, data, shared_rules(tokens)
+FACTS = ["definitions", "imports", "calls", "inheritance", "loc", "truncated"]
 
 
-FACTS = ["definitions", "imports", "calls", "inheritance", "loc", "truncated"]
+def _text(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
+
+
+def fact_tokens() -> Column:
+    """A file's facts in order, as tokens: imports, definitions, calls, inheritance."""
+    none = F.array().cast("array<string>")
+
+    def each(column: str, tokens) -> Column:
+        real = F.filter(F.col(column), lambda x: x.isNotNull())
+        return F.coalesce(F.flatten(F.transform(real, tokens)), none)
+
+    return F.concat(
+        each("imports", lambda x: F.concat(F.array(F.lit("import"), _text(x["specifier"])), F.transform(F.coalesce(x["names"], none), _text))),
+        each("definitions", lambda x: F.array(_text(x["kind"]), F.coalesce(x["signature"], x["name"], F.lit("")), _text(x["docstring"]))),
+        each("calls", lambda x: F.array(F.lit("call"), _text(x["callee"]), _text(x["enclosing"]))),
+        each("inheritance", lambda x: F.array(F.lit("extends"), _text(x["child"]), _text(x["parent_name"]))),
+    )
+
+
+def fact_counts() -> list[Column]:
+    """names, short_names, facts of a file."""
+    n = lambda c: F.coalesce(F.size(F.filter(F.col(c), lambda x: x.isNotNull())), F.lit(0))
+    short = F.size(F.filter(F.col("definitions"), lambda x: x.isNotNull() & (F.length(_text(x["name"])) <= 2)))
+    return [n("definitions").alias("names"), F.coalesce(short, F.lit(0)).alias("short_names"), (n("definitions") + n("calls") + n("imports") + n("inheritance")).alias("facts")]
+
+
+def content_marks(tokens: list[str], names: int, short_names: int) -> tuple[bool, bool, list[int]]:
+    """Whether the facts are those of code made by a tool, of shrunk code, and the names of their shared rules."""
+    reused = len(tokens) >= LEAST_TOKENS and saved(tokens, FACTS_SAVED) >= FACTS_SAVED
+    short = names > 0 and short_names >= SHORT_NAMES * names
+    return reused and not short, reused and short, shared_rules(tokens)
 
 
 def content_evidence(contents: DataFrame) -> DataFrame:
-    """key, blank, made, shrunk, data, rules of every distinct content: key and the columns of FACTS, content_hash."""
+    """key, blank, made, shrunk, data, rules of every distinct content: key, content_hash, loc, truncated, tokens, names, short_names, facts."""
+    blank = (F.col("content_hash") == EMPTY_HASH) | (F.coalesce("loc", F.lit(0)) <= 1) & (F.col("facts") == 0)
+    data = (F.coalesce("loc", F.lit(0)) >= LINES_A_FACT * (1 + F.col("facts"))) | F.coalesce("truncated", F.lit(False)) & (F.col("facts") <= 1)
+    source = contents.select("key", F.coalesce(blank, F.lit(False)).alias("blank"), data.alias("data"), "tokens", "names", "short_names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            hashes = b["content_hash"].to_pylist()
-            columns = {c: b[c].to_pylist() for c in FACTS}
-            for i, h in enumerate(hashes):
-                row = {c: columns[c][i] for c in FACTS}
-                empty = h == EMPTY_HASH or (row["loc"] or 0) <= 1 and not any(row[c] for c in FACTS[:4])
-                found.append((empty, *fact_marks(row)))
-            cols = list(zip(*found)) if found else [[], [], [], [], []]
-            kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["key"], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["key", "blank", "made", "shrunk", "data", "rules"])
+            found = [content_marks(t, n, k) for t, n, k in zip(b["tokens"].to_pylist(), b["names"].to_pylist(), b["short_names"].to_pylist())]
+            cols = list(zip(*found)) if found else [[], [], []]
+            kinds = (pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["key"], b["blank"], b["data"], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["key", "blank", "data", "made", "shrunk", "rules"])
 
-    return contents.select("key", "content_hash", *FACTS).mapInArrow(run, "key long, blank boolean, made boolean, shrunk boolean, data boolean, rules array<long>")
+    return source.mapInArrow(run, "key long, blank boolean, data boolean, made boolean, shrunk boolean, rules array<long>")
 
 
 def excerpt_evidence(excerpts: DataFrame) -> DataFrame:
@@ -314,7 +320,8 @@ def made_files(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
     are ignored. An empty file is a case only in a folder for foreign code. Extra columns are ignored.
     """
     rows = facts.filter("repo IS NOT NULL AND path IS NOT NULL").select("repo", "path", "content_hash", *FACTS)
-    rows = rows.withColumn("key", F.xxhash64("content_hash", *FACTS))
+    rows = rows.select("repo", "path", "content_hash", "loc", "truncated", fact_tokens().alias("tokens"), *fact_counts())
+    rows = rows.withColumn("key", F.xxhash64("content_hash", "loc", "truncated", "tokens"))
     files = materialised(rows.select("repo", "path", "content_hash", "key").distinct())
     contents = materialised(content_evidence(rows.drop("repo", "path").dropDuplicates(["key"])))
     full = contents.filter("NOT blank")
