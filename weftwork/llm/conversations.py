@@ -1,10 +1,10 @@
 """Rebuilding conversations from message rows.
 
-Messages are partitioned by conversation key, ordered by time within it, and judged by a finite-state automaton over
-their speakers. No task ever holds a whole channel or conversation: time is cut into buckets, each bucket is worked on
-alone, and a short summary of every bucket carries the state across its borders. The automaton runs the same way; its
-state after a piece of a conversation is the number of turns (up to what is asked for), whether more than one speaker
-was heard, and whether the opening message is there, and such states combine in any order.
+Messages are partitioned by conversation key, ordered by time within it, and judged by a finite-state automaton over their
+speakers. No task ever holds a whole channel or conversation: time is cut into buckets, each bucket is worked on alone, and
+the automaton's state after every piece carries the judgement across its borders. A state is the number of turns so far (up
+to what is asked for), whether somebody else than the opener has replied, and whether the named message is there; states
+of pieces combine by Automaton.then, in any order, which the tests prove from the transition table.
 """
 
 from __future__ import annotations
@@ -73,25 +73,65 @@ def runs(loose: DataFrame, gap_s: int = GAP_S, bucket_s: int = BUCKET_S) -> Data
     return m.join(heads, key).select(*loose.columns, F.coalesce("own", "head").alias("run_us"))
 
 
+class Automaton:
+    """What a conversation must be: `most` turns at least are counted; a thread needs its named message, a reply by somebody
+    else than the opener is never missing. Symbols are the turns that are left (empty ones are no symbol)."""
+
+    OPENER, REPLIER, NAMED_OPENER, NAMED_REPLIER = range(4)
+
+    def __init__(self, thread_turns: int = THREAD_TURNS, run_turns: int = RUN_TURNS):
+        self.most = max(thread_turns, run_turns)
+        states = [(t, replied, named) for t in range(self.most + 1) for replied in (0, 1) for named in (0, 1)]
+        self.number = {s: i for i, s in enumerate(states)}
+        #: state and symbol to state: every turn counts, a replier's turn is a reply, the named message is there once seen
+        self.transitions = [[self.number[min(t + 1, self.most), replied | (x in (1, 3)), named | (x in (2, 3))] for x in range(4)] for t, replied, named in states]
+        self.thread_accepts = [bool(t >= thread_turns and replied and named) for t, replied, named in states]
+        self.run_accepts = [bool(t >= run_turns and replied) for t, replied, named in states]
+
+    def after(self, symbols: list[int], state: int = 0) -> int:
+        for x in symbols:
+            state = self.transitions[state][x]
+        return state
+
+    def then(self, first: int, second: int) -> int:
+        """The state after a piece that alone leads to `second`, from `first`: turns add up, marks stay."""
+        t, replied, named = self.states[first]
+        u, also, too = self.states[second]
+        return self.number[min(t + u, self.most), replied | also, named | too]
+
+    @property
+    def states(self) -> list[tuple[int, int, int]]:
+        return list(self.number)
+
+    def state(self, turns: Column, replied: Column, named: Column) -> Column:
+        """The number of a state, from what `then` adds up over pieces."""
+        return F.least(turns, F.lit(self.most)).cast("int") * 4 + replied.cast("int") * 2 + named.cast("int")
+
+    def accepted(self, threaded: Column, state: Column) -> Column:
+        tables = [F.element_at(F.array(*map(F.lit, t)), state + 1) for t in (self.thread_accepts, self.run_accepts)]
+        return F.when(threaded, tables[0]).otherwise(tables[1])
+
+
 def judged(said: DataFrame, keys: list[str], thread_turns: int, run_turns: int, bucket_s: int) -> DataFrame:
     """said with root_us, turn and role, in the conversations that the automaton accepts.
 
-    Every piece (keys, bucket) of a conversation yields the automaton's state after it; states are combined over the few
-    pieces of a conversation, which also tells how many turns come before each piece.
+    Every piece (keys, bucket) of a conversation is reduced to the automaton's state after it; states are combined over the
+    few pieces of a conversation, which also tells how many turns come before each piece.
     """
+    machine = Automaton(thread_turns, run_turns)
     piece = [*keys, "bucket"]
     m = bucketed(said, "ts_us", bucket_s)
     state = m.groupBy(*piece).agg(
         F.count(F.lit(1)).alias("n"), F.min("user").alias("low"), F.max("user").alias("high"), F.min("ts_us").alias("first_us"),
-        F.min_by("user", "ts_us").alias("first_user"), F.max(F.col("ts_us") == F.col("conv_us")).alias("rooted"),
+        F.min_by("user", "ts_us").alias("first_user"), F.max(F.col("ts_us") == F.col("conv_us")).alias("named"),
     )
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("bucket")
-    heard = F.min("low").over(whole) != F.max("high").over(whole)
-    turns = F.sum("n").over(whole)
-    accepted = heard & F.when(F.col("threaded"), F.max("rooted").over(whole) & (turns >= thread_turns)).otherwise(turns >= run_turns)
+    state = state.withColumn("opener", F.first("first_user").over(ordered))
+    replied = (F.col("low") != F.col("opener")) | (F.col("high") != F.col("opener"))
+    end = machine.state(F.sum("n").over(whole), F.max(replied).over(whole), F.max("named").over(whole))
     state = state.select(
-        *piece, accepted.alias("accepted"), F.min("first_us").over(whole).alias("root_us"), F.first("first_user").over(ordered).alias("opener"),
+        *piece, machine.accepted(F.col("threaded"), end).alias("accepted"), F.min("first_us").over(whole).alias("root_us"), "opener",
         F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"),
     ).filter("accepted").drop("accepted")
     rank = F.row_number().over(Window.partitionBy(*piece).orderBy("ts_us"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +65,22 @@ def encode_arrays(texts: list[str | None], name: str = NAME, folder: str = TOKEN
     lengths = np.zeros(len(texts), np.int64)
     parts: list[np.ndarray] = []
     for places, group in _groups(texts):
-        for i, e in zip(places, t.encode_batch_fast(group, add_special_tokens=False)):
-            ids = np.asarray(e.ids, np.int32)
-            lengths[i] = ids.size
-            parts.append(ids)
+        found = [e.ids for e in t.encode_batch_fast(group, add_special_tokens=False)]
+        sizes = list(map(len, found))
+        lengths[places] = sizes
+        parts.append(np.fromiter(chain.from_iterable(found), np.int32, sum(sizes)))
     return lengths, np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
+def count_tokens(texts: list[str | None], name: str = NAME, folder: str = TOKENIZERS) -> np.ndarray:
+    """Token counts of the texts; ids are never built."""
+    t = load(name, folder)
+    lengths = np.zeros(len(texts), np.int64)
+    for places, group in _groups(texts):
+        lengths[places] = list(map(len, t.encode_batch_fast(group, add_special_tokens=False)))
+    return lengths
+
+
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, *, name: str = NAME, folder: str = TOKENIZERS, out: str = "ids") -> DataFrame:
     """`keep` columns of df and the ids of each text as `out` (array of int).
 
@@ -99,7 +109,7 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths, _ = encode_arrays(b["__text"].to_pylist(), name, folder)
+            lengths = count_tokens(b["__text"].to_pylist(), name, folder)
             yield pa.RecordBatch.from_arrays([b[c] for c in keep] + [pa.array(lengths, pa.int64())], names=[*keep, out])
 
     return source.mapInArrow(run, schema)

@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.encoding import NAME, TOKENIZERS, token_counts
-from weftwork.session import materialised
+from weftwork.session import broadcast_if_small, materialised
 
 #: Topics are the spaces, in this many hash buckets.
 TOPICS = 32
-#: With more cells than that, topics are left out; the cells go to the driver.
-MAX_CELLS = 200_000
+#: Targets of all mixes together; more are refused, never cut. Cells that go to the driver are no more than the sources
+#: named there, times the 677 language keys, times TOPICS.
+MAX_TARGETS = 10_000
 #: Steps of the draw's threshold for each source.
 BINS = 2048
 ROUNDS = 200
@@ -111,16 +112,14 @@ def mixtures(documents: DataFrame, targets: DataFrame, *, size: float | None = N
     spark = documents.sparkSession
     goals = [
         r.asDict() for r in targets.filter("mix_name IS NOT NULL").withColumn("source", source_key(F.col("source"))).filter("source IS NOT NULL AND target_share > 0")
-        .groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).orderBy("mix_name", "source").limit(10_000).collect()
+        .groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).orderBy("mix_name", "source").limit(MAX_TARGETS + 1).collect()
     ]
+    if len(goals) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     wanted = sorted({g["source"] for g in goals})
     texts = materialised(sized_texts(documents, name=name, folder=folder)).filter(F.col("source").isin(wanted) if wanted else F.lit(False))
     by = ["source", "lang", "topic"]
-    cells = texts.groupBy(*by).agg(F.sum("n_tokens").alias("tokens")).limit(MAX_CELLS + 1).collect()
-    if len(cells) > MAX_CELLS:
-        texts = texts.withColumn("topic", F.lit(0))
-        cells = texts.groupBy(*by).agg(F.sum("n_tokens").alias("tokens")).collect()
-    cells = sorted(cells, key=lambda r: (r["source"], r["lang"], r["topic"]))
+    cells = sorted(texts.groupBy(*by).agg(F.sum("n_tokens").alias("tokens")).collect(), key=lambda r: (r["source"], r["lang"], r["topic"]))
     place = {s: i for i, s in enumerate(wanted)}
     tokens = np.array([float(c["tokens"]) for c in cells])
     source = np.array([place[c["source"]] for c in cells], int)
@@ -139,7 +138,7 @@ def mixtures(documents: DataFrame, targets: DataFrame, *, size: float | None = N
                 rows.append((mix, c["source"], c["lang"], c["topic"], int(np.floor(w + 1e-9)), float(max(0.0, w - np.floor(w + 1e-9)))))
     plan = spark.createDataFrame(rows, "mix_name string, source string, lang string, topic int, base int, rest double")
     draw = F.pmod(F.xxhash64("text_key", "mix_name"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    drawn = texts.join(F.broadcast(plan), by).withColumn("bin", F.when(F.col("rest") > 0, F.least(F.floor(draw / F.col("rest") * (BINS // 2)), F.lit(BINS - 1))).otherwise(BINS).cast("int"))
+    drawn = texts.join(broadcast_if_small(plan), by).withColumn("bin", F.when(F.col("rest") > 0, F.least(F.floor(draw / F.col("rest") * (BINS // 2)), F.lit(BINS - 1))).otherwise(BINS).cast("int"))
     counts = drawn.groupBy("mix_name", "source", "bin").agg(F.sum(F.col("n_tokens") * F.col("base")).alias("sure"), F.sum("n_tokens").alias("extra")).collect()
     steps = []
     for mix, s in sorted({(c["mix_name"], c["source"]) for c in counts}):
@@ -152,7 +151,7 @@ def mixtures(documents: DataFrame, targets: DataFrame, *, size: float | None = N
         steps.append((mix, s, int(np.abs(reach - want[mix, s]).argmin())))
     cut = spark.createDataFrame(steps, "mix_name string, source string, cut int")
     mix = (
-        drawn.join(F.broadcast(cut), ["mix_name", "source"]).withColumn("copies", F.col("base") + (F.col("bin") < F.col("cut")).cast("int")).filter("copies > 0")
+        drawn.join(broadcast_if_small(cut), ["mix_name", "source"]).withColumn("copies", F.col("base") + (F.col("bin") < F.col("cut")).cast("int")).filter("copies > 0")
         .select("mix_name", "doc_id", "source", "n_tokens", "copies")
     )
     goal = spark.createDataFrame([(g["mix_name"], g["source"], float(g["target_share"]), int(g["max_repeats"])) for g in goals], "mix_name string, source string, target_share double, max_repeats int")

@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets_in(table(spark, folder, "context"), ["block_id"]).select("block_id", "line_no", "start_at")
 
 
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every excerpt with its secrets blotted out: how many lines changed, and whether every line kept its length."""
+    c = table(spark, folder, "context").select("block_id", "lines")
+    r = secrets.redacted(c.withColumn("old", F.col("lines")))
+    both = F.zip_with(F.coalesce("old", F.array().cast("array<string>")), F.coalesce("lines", F.array().cast("array<string>")), lambda a, b: F.struct((~a.eqNullSafe(b)).alias("changed"), F.length(a).eqNullSafe(F.length(b)).alias("same")))
+    return r.select("block_id", F.size(F.filter(both, lambda x: x["changed"])).alias("changed"), F.forall(both, lambda x: x["same"]).alias("same_length"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The files of facts_py that weren't written by hand for the project."""
     return handwritten.made_files(table(spark, folder, "facts_py"), table(spark, folder, "context")).select("repo", "path")
@@ -37,6 +45,26 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments with a typed placeholder for every item."""
+    names = personal.lexicon(table(spark, folder, "members"))
+    return personal.redact_personal(table(spark, folder, "comments").select("row_id", "body"), "body", names)
+
+
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again: the text itself, an empty one for null."""
+    return encoding.decode(encoding.encode(table(spark, folder, "documents"), "text", ["doc_id"]), "ids", ["doc_id"])
+
+
+def p6_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document: where its first token starts and its last one ends, and whether tokens leave any character out."""
+    e = encoding.encode_with_offsets(table(spark, folder, "documents"), "text", ["doc_id"])
+    after = F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0)))
+    before = F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))
+    gaps = F.size(F.filter(F.zip_with(before, after, lambda a, b: b > a), lambda x: x))
+    return e.select("doc_id", F.coalesce(F.array_min("starts"), F.lit(0)).alias("start_at"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("end_at"), gaps.alias("gaps"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encoding.encode(table(spark, folder, "documents"), "text", ["doc_id"])
@@ -59,16 +87,22 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
+    "p6_offsets": p6_offsets,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p6_offsets": "SELECT doc_id, CAST(0 AS INTEGER) AS start_at, CAST(coalesce(length(text), 0) AS INTEGER) AS end_at, CAST(0 AS INTEGER) AS gaps FROM documents",
     "p4_found": r"""
 WITH raw AS (
   SELECT workspace_id AS w, channel AS c, CAST(round(CAST(trim(ts) AS DECIMAL(38,12)) * 1000000) AS BIGINT) AS t,

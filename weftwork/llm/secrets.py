@@ -1,15 +1,19 @@
 """Credentials embedded in source code and configuration: finding and blotting out.
 
 A keyword automaton passes over each excerpt once and names the few lines worth a look. On those, issuer formats and
-assignment shapes propose values, and structure checks (length, alphabet, character mix, base64 form, neighbours) decide.
-Most issuers' checksums can't be relied on, since formats differ by age; structure is checked instead. Private keys are
-followed over lines with a small state machine, forwards from a first line and backwards from a last one, because
-excerpts begin and end anywhere.
+assignment shapes propose values, and structure checks (length, alphabet, character mix, base64 form, neighbours, the
+parts of a signed token) decide. Where an issuer's format carries a checksum or an encoded head, a value that fits it is taken
+without them; one that doesn't fit is still judged by its structure, since older formats have none. Private keys are followed over lines
+with a small state machine, forwards from a first line and backwards from a last one, because excerpts begin and end
+anywhere; an excerpt wholly inside a key's body can't be told from one inside a certificate and is left alone.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,7 +52,7 @@ BEGINNING = re.compile(r"(?:AKIA|ASIA|gh[posur]_|github_pat_|glpat-|xox[abeoprs]
 
 PEM_FIRST = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_LAST = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-PEM_BODY = re.compile(r"""^[\s>|#*]*["'`]?((?:[A-Za-z0-9+/]{4,100}={0,3})|(?:Proc-Type|DEK-Info|Comment|Version): [^"'`]+)(?:\\r)?(?:\\n)?["'`]?\s*[+,;)\\.]*\s*$""")
+PEM_BODY = re.compile(r"""^[\s>|#*]*["'`]?((?:[A-Za-z0-9+/]{4,}={0,3})|(?:Proc-Type|DEK-Info|Comment|Version): [^"'`]+)(?:\\r)?(?:\\n)?["'`]?\s*[+,;)\\.]*\s*$""")
 
 #: A name that ends in one of these holds a secret.
 TAILS = {
@@ -57,11 +61,11 @@ TAILS = {
 }
 BEFORE_KEY = {"api", "secret", "access", "private", "signing", "auth", "encryption", "account", "master", "service", "client", "license", "shared"}
 KEY_WORD = re.compile(r"pass|pwd|secret|token|key|jwt|contrase|kennwort|пароль|密码|パスワード|credential", re.I)
-NAME_CHARS = re.compile(r"[\w.\-]{0,100}")
-#: What follows a name: a type, a sign, a value. Values are at most 4096 characters, far more than any secret of one line but keys.
+NAME_CHARS = re.compile(r"[\w.\-]*")
+#: What follows a name: a type, a sign, a value of any length. Possessive repeats keep the time near linear.
 ASSIGNED = re.compile(
-    r"""(?P<nq>["'`\]]{0,4})(?:\s{0,8}:\s{0,8}[A-Za-z_][\w\[\], |.]{0,60}?(?=\s{0,8}=))?\s{0,40}(?P<sep>===?|=>|:=|=|:|,)\s{0,40}"""
-    r"""(?:(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))[^\\]|\\.){0,4096})(?P=q)|(?P<bare>[^\s"'`,;&<>(){}\[\]|]{1,4096}))"""
+    r"""(?P<nq>["'`\]]*+)(?:\s*+:\s*+[A-Za-z_][\w\[\], |.]*?(?=\s*=))?\s*+(?P<sep>===?|=>|:=|=|:|,)\s*+"""
+    r"""(?:(?P<q>["'`])(?P<quoted>(?:[^"'`\\]|(?!(?P=q))["'`]|\\.)*+)(?P=q)|(?P<bare>[^\s"'`,;&<>(){}\[\]|]++))"""
 )
 HEADER = re.compile(r"""\b(?:bearer|basic)\s+(?P<v>[A-Za-z0-9+/=._~\-]{12,})""", re.I)
 USERINFO = re.compile(r"""[a-z][a-z0-9+.\-]{1,20}://[^\s:/@"'`]*:(?P<v>[^\s/@"'`]+)@""", re.I)
@@ -121,6 +125,29 @@ def strong(v: str) -> bool:
     return len(v) >= 20 and sum(map(str.isdigit, v)) >= 2 and any(map(str.isupper, v)) and any(map(str.islower, v)) and usable(v)
 
 
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_fits(kind: str, v: str) -> bool:
+    """Whether a token's last six characters are the CRC32 of those between prefix and them, in base 62."""
+    if kind not in ("github", "npm") or len(v) != 40:
+        return False
+    n, want = zlib.crc32(v[4:-6].encode()), ""
+    while n:
+        n, k = divmod(n, 62)
+        want = _DIGITS[k] + want
+    return want.rjust(6, "0") == v[-6:]
+
+
+def signed_token(v: str) -> bool:
+    """Whether the first part of a signed token is a JSON object that names an algorithm."""
+    try:
+        head = json.loads(base64.urlsafe_b64decode(v.split(".")[0] + "==="))
+    except ValueError:
+        return False
+    return isinstance(head, dict) and ("alg" in head or "typ" in head)
+
+
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
@@ -157,8 +184,9 @@ def _in_line(line: str) -> list[tuple[int, int, str]]:
             return [(m.start(), end, "private_key")]
         return []
     for m in ISSUER.finditer(line):
-        if len(set(m[0])) > 8 and not m[0].endswith("EXAMPLE"):
-            add(m.start(), m.end(), m.lastgroup or "issuer")
+        kind = m.lastgroup or "issuer"
+        if checksum_fits(kind, m[0]) or kind == "jwt" and signed_token(m[0]) or len(set(m[0])) > 8 and not m[0].endswith("EXAMPLE"):
+            add(m.start(), m.end(), kind)
     for pattern, kind, least in ((USERINFO, "url_password", 6), (CURL, "password", 6), (HOOK, "hook", 16), (PAIR, "password", 6)):
         for m in pattern.finditer(line):
             if usable(m["v"], least):
@@ -174,7 +202,7 @@ def _in_line(line: str) -> list[tuple[int, int, str]]:
         if word.start() < at:
             continue
         begin, stop = word.start(), NAME_CHARS.match(line, word.end()).end()
-        while begin > 0 and word.start() - begin < 100 and (line[begin - 1].isalnum() or line[begin - 1] in "_.-"):
+        while begin > at and (line[begin - 1].isalnum() or line[begin - 1] in "_.-"):
             begin -= 1
         at, name = stop, line[begin:stop]
         m = ASSIGNED.match(line, stop)
