@@ -320,10 +320,10 @@ def made_files(facts: DataFrame, excerpts: DataFrame) -> DataFrame:
     are ignored. An empty file is a case only in a folder for foreign code. Extra columns are ignored.
     """
     rows = facts.filter("repo IS NOT NULL AND path IS NOT NULL").select("repo", "path", "content_hash", *FACTS)
-    rows = rows.select("repo", "path", "content_hash", "loc", "truncated", fact_tokens().alias("tokens"), *fact_counts())
-    rows = rows.withColumn("key", F.xxhash64("content_hash", "loc", "truncated", "tokens"))
+    rows = rows.withColumn("key", F.xxhash64("content_hash", *FACTS))
     files = materialised(rows.select("repo", "path", "content_hash", "key").distinct())
-    contents = materialised(content_evidence(rows.drop("repo", "path").dropDuplicates(["key"])))
+    once = rows.drop("repo", "path").dropDuplicates(["key"])
+    contents = materialised(content_evidence(once.select("key", "content_hash", "loc", "truncated", fact_tokens().alias("tokens"), *fact_counts())))
     full = contents.filter("NOT blank")
     # rules and the repositories they occur in; equal contents are one
     held = files.select("key", F.xxhash64("repo").alias("r")).distinct()
