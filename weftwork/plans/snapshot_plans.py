@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.operators.ordinals import stored_dictionary
 from weftwork.operators.snapshots import file_snapshots, snapshot_changes, ticket_snapshots
+from weftwork.session import shared_folder
 from weftwork.tables import table
 
 
@@ -17,7 +21,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return tickets.select(*out).unionByName(files.select(*out))
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordinals of ticket ids stored with the first three deliveries and extended by the others: how many keys the
+    dictionary held before, how many after, and how many of the old ones have another ordinal now (none)."""
+    store = f"{shared_folder(spark)}/ordinals-{uuid.uuid4().hex}"
+    ids = table(spark, folder, "sample_jira_tickets").filter("snapshot_no IS NOT NULL")
+    early = stored_dictionary(ids.filter("snapshot_no <= 3").select("id").distinct(), ["id"], store).select("id", F.col("ordinal").alias("old"))
+    late = stored_dictionary(ids.select("id").distinct(), ["id"], store)
+    j = late.join(early.withColumn("known", F.lit(1)), late["id"].eqNullSafe(early["id"]), "left")
+    return j.agg(F.count("known").alias("before"), F.count(F.lit(1)).alias("after"), F.coalesce(F.sum((F.col("old") != F.col("ordinal")).cast("long")), F.lit(0)).alias("moved"), (F.max("ordinal") + 1).alias("dense"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_ordinals": p3_ordinals}
 
 _SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{001C}-\x{001F}]+"
 
@@ -27,6 +42,7 @@ def _clean(x: str) -> str:
 
 
 SQL = {
+    "p3_ordinals": "SELECT count(DISTINCT CASE WHEN snapshot_no <= 3 THEN id END) AS before, count(DISTINCT id) AS after, CAST(0 AS BIGINT) AS moved, count(DISTINCT id) AS dense FROM sample_jira_tickets WHERE snapshot_no IS NOT NULL",
     "p3_found": f"""
 WITH t AS (
   SELECT 'sample_jira_tickets' AS tbl, '' AS scope, id AS k, snapshot_no AS s, synced_at AS tm, row_id,
