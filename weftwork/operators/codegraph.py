@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.functions.ids import ancestry, ecosystem, node_id, outer_module, owning_module, package_id, route_id, symbol_id
-from weftwork.functions.text import npm_package, python_distribution, route_path
+from weftwork.functions.ids import EXTERNAL, ROUTES, ancestry, ecosystem, node_id, outer_module, owning_module, package_id, route_id, symbol_id
+from weftwork.functions.text import route_path
+from weftwork.operators import linking
 from weftwork.operators.incremental import newest
+from weftwork.session import materialised
 
-#: Files of one JavaScript module path, in the order in which they're tried. Fixed values.
-JS_CANDIDATES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs"]
-PY_CANDIDATES = [".py", "/__init__.py"]
+CONTAINMENT = ["CONTAINS", "DEFINES", "HAS_MEMBER"]
+#: What counts of a file's outgoing use in its rank, and how many exported names it's described by.
+OUTWARD, KEY_NAMES = 0.5, 5
+
+
+@dataclass
+class Links:
+    """The files of a graph and what their imports and references mean, each kept as a table."""
+
+    files: DataFrame
+    imports: DataFrame
+    bound: DataFrame
+
+
+def link(files: DataFrame, scopes: DataFrame | None = None, roots: DataFrame | None = None, packages: DataFrame | None = None) -> Links:
+    """Links of files; the settings are those of linking.resolved_imports."""
+    imports = materialised(linking.resolved_imports(files, scopes, roots, packages))
+    return Links(files, imports, materialised(linking.bound_references(files, imports)))
 
 
 def current_facts(facts: DataFrame) -> DataFrame:
@@ -51,57 +69,38 @@ def module_totals(files: DataFrame) -> DataFrame:
     ).withColumn("depth", F.size(F.split("module", "/")))
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """id, label, repo, name, depth of all nodes: repositories, modules, files, symbols, packages and routes."""
-    f = files
+def nodes(links: Links) -> DataFrame:
+    """id, label, repo, name, depth of all nodes: repositories, modules, files, symbols, packages and routes. Packages and
+    routes lie in a synthetic module each."""
+    f = links.files
     none = F.lit(None).cast("int")
+    pack, way = packages(links).select("repo", "id", "name").distinct(), routes(f).select("repo", "id", "route").distinct()
+    synthetic = pack.select("repo", F.lit(EXTERNAL).alias("m")).unionByName(way.select("repo", F.lit(ROUTES).alias("m"))).distinct()
     parts = [
         f.select("repo").distinct().select(F.col("repo").alias("id"), F.lit("Repository").alias("label"), "repo", F.col("repo").alias("name"), F.lit(0).alias("depth")),
         f.select("repo", F.explode(ancestry(owning_module(F.col("path")))).alias("m")).distinct().select(node_id(F.col("repo"), F.col("m")).alias("id"), F.lit("Module").alias("label"), "repo", F.col("m").alias("name"), F.size(F.split("m", "/")).alias("depth")),
+        synthetic.select(node_id(F.col("repo"), F.col("m")).alias("id"), F.lit("Module").alias("label"), "repo", F.col("m").alias("name"), F.lit(1).alias("depth")),
         f.select(node_id(F.col("repo"), F.col("path")).alias("id"), F.lit("File").alias("label"), "repo", F.substring_index("path", "/", -1).alias("name"), none.alias("depth")),
         symbols(f).select("id", F.lit("Symbol").alias("label"), "repo", "name", none.alias("depth")),
-        packages(f).select("id", F.lit("Package").alias("label"), "repo", "name", none.alias("depth")).distinct(),
-        routes(f).select("id", F.lit("Route").alias("label"), "repo", F.col("route").alias("name"), none.alias("depth")).distinct(),
+        pack.select("id", F.lit("Package").alias("label"), "repo", "name", none.alias("depth")),
+        way.select("id", F.lit("Route").alias("label"), "repo", F.col("route").alias("name"), none.alias("depth")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """repo, path, language, ord, specifier, names, line of every import."""
-    return files.select("repo", "path", "language", F.posexplode("imports").alias("ord", "i")).select("repo", "path", "language", "ord", "i.specifier", "i.names", "i.line")
-
+def file_imports(links: Links) -> DataFrame:
+    """repo, path, target, count, names, lines: imports of other files, merged by importer and target."""
+    r = links.imports.filter("target IS NOT NULL AND target <> path")
+    return r.groupBy("repo", "path", "target").agg(
+        F.count(F.lit(1)).alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("names", F.array().cast("array<string>")))))).alias("names"), F.sort_array(F.collect_list("line")).alias("lines")
+    )
 
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """imports with `target` (the path of the file meant, or null) and `package` (what it is otherwise).
 
-    Every candidate path is joined by equality; of the files that exist, the first candidate counts. Python specifiers are
-    read from the repository's root, leading dots from the importer's folder; a JavaScript path is relative if it starts
-    with a dot. A relative specifier without a file is unresolved: neither a target nor a package.
-    """
-    i = imports(files)
-    py = F.col("language") == "python"
-    here = F.coalesce(owning_module(F.col("path")), F.lit(""))
-    dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
-    rest = F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/")
-    climbed = F.array_join(F.slice(F.split(here, "/"), F.lit(1), F.greatest(F.size(F.split(here, "/")) - (dots - 1), F.lit(0))), "/")
-    base = F.when(py & (dots > 0), F.concat_ws("/", F.when(climbed != "", climbed), F.when(rest != "", rest))).when(py, rest).when(
-        F.col("specifier").startswith("."), F.concat_ws("/", F.when(here != "", here), F.regexp_replace("specifier", r"^\./", ""))
-    )
-    tries = F.when(py, F.transform(F.array(*map(F.lit, PY_CANDIDATES)), lambda c: F.concat(base, c))).otherwise(F.transform(F.array(*map(F.lit, JS_CANDIDATES)), lambda c: F.concat(base, c)))
-    tried = i.withColumn("tries", F.when(base.isNotNull(), tries))
-    spread = tried.select("repo", "path", "ord", F.posexplode("tries").alias("k", "candidate"))
-    exists = files.select("repo", F.col("path").alias("candidate"))
-    hit = spread.join(exists, ["repo", "candidate"]).groupBy("repo", "path", "ord").agg(F.min_by("candidate", "k").alias("target"))
-    relative = F.col("specifier").startswith(".")
-    package = F.when(F.col("target").isNull() & ~relative, F.when(py, python_distribution(F.col("specifier"))).otherwise(npm_package(F.col("specifier"))))
-    return i.join(hit, ["repo", "path", "ord"], "left").withColumn("package", package)
-
-
-def packages(files: DataFrame) -> DataFrame:
-    """repo, path, id, name, names of every package that a file uses; names is the sorted union of what it imports."""
-    r = resolved_imports(files).filter("package IS NOT NULL AND package <> ''")
-    eco = ecosystem(F.col("language"))
-    return r.groupBy("repo", "path", eco.alias("ecosystem"), F.col("package").alias("name")).agg(
+def packages(links: Links) -> DataFrame:
+    """repo, path, id, ecosystem, name, names, count of every package that a file uses; names is the sorted union of what it
+    imports. What is only passed on isn't used."""
+    r = links.imports.filter("package IS NOT NULL AND package <> '' AND NOT coalesce(is_reexport, false)").join(links.files.select("repo", "path", "language"), ["repo", "path"])
+    return r.groupBy("repo", "path", ecosystem(F.col("language")).alias("ecosystem"), F.col("package").alias("name")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("names", F.array().cast("array<string>")))))).alias("names"), F.count(F.lit(1)).alias("count")
     ).withColumn("id", package_id(F.col("repo"), F.col("ecosystem"), F.col("name")))
 
@@ -118,81 +117,103 @@ def matched_requests(files: DataFrame) -> DataFrame:
     An exact route wins; else the first declared one of the same method and number of segments in which * stands for one
     segment. Candidates are joined by repository, method and number of segments, never by all pairs.
     """
-    c = files.select("repo", "path", F.posexplode("http_calls").alias("ord", "c")).select("repo", "path", "ord", F.upper("c.method").alias("method"), route_path(F.col("c.path")).alias("called"), "c.line")
+    c = files.select("repo", "path", F.posexplode("http_calls").alias("ord", "c")).select("repo", "path", "ord", F.upper("c.method").alias("method"), route_path(F.col("c.path")).alias("called"), "c.line", "c.caller")
     parts = lambda x: F.split(x, "/")
     c = c.withColumn("segments", F.size(parts(F.col("called"))))
     declared = routes(files).groupBy("repo", "method", "route").agg(F.min(F.struct("path", "ord")).alias("first")).withColumn("segments", F.size(parts(F.col("route"))))
     fits = F.forall(F.zip_with(parts(F.col("route")), parts(F.col("called")), lambda r, a: (r == "*") | (r == a)), lambda x: x)
     hit = c.select("repo", "path", "ord", "method", "called", "segments").join(declared, ["repo", "method", "segments"]).filter(fits)
     best = hit.groupBy("repo", "path", "ord").agg(F.min_by("route", F.struct((F.col("route") != F.col("called")).alias("inexact"), F.col("first").alias("first"), F.col("route").alias("r"))).alias("route"))
-    return c.join(best, ["repo", "path", "ord"], "left").select("repo", "path", "line", "method", "called", "route")
+    return c.join(best, ["repo", "path", "ord"], "left").select("repo", "path", "line", "method", "called", "caller", "route")
 
 
 def name_table(files: DataFrame) -> DataFrame:
-    """repo, path, name, id: one definition per simple name of a file. The last top-level one wins; without any, the first
-    inner one."""
-    s = symbols(files).withColumn("top", F.col("parent").isNull())
-    order = [F.desc("top"), F.when(F.col("top"), -F.col("pos")).otherwise(F.col("pos"))]
-    return newest(s, ["repo", "path", "name"], order).select("repo", "path", "name", "id")
+    """repo, path, name, id: one definition per simple name of a file."""
+    return linking.name_table(files).select("repo", "path", "name", symbol_id(F.col("repo"), F.col("path"), F.col("qualified"), F.lit(1)).alias("id"))
+
 
+def _symbol(path: str, name: str) -> Column:
+    return symbol_id(F.col("repo"), F.col(path), F.col(name), F.lit(1))
 
-def references(files: DataFrame) -> DataFrame:
-    """repo, path, source, target, count, lines: calls merged by caller and callee within a file.
 
-    source is the enclosing definition's id, else the file's; target is the definition that the callee's simple name has in
-    the same file. Calls with a receiver other than self or this, and unknown names, have no target and are left out.
+def references(links: Links) -> DataFrame:
+    """repo, path, in_file, source, target, type, count, lines: calls, renders and inheritance, merged by both ends.
+
+    source is the enclosing definition, else the file; target the definition meant, in this file or another.
     """
-    c = files.select("repo", "path", F.explode("calls").alias("c")).select("repo", "path", "c.*")
-    c = c.filter("receiver IS NULL OR receiver IN ('self', 'this', 'cls')").withColumn("name", F.substring_index("callee", ".", -1))
-    table = name_table(files)
-    first = symbols(files).filter("ordinal = 1").select("repo", "path", F.col("qualified_name").alias("enclosing"), F.col("id").alias("caller"))
-    found = c.join(table.withColumnRenamed("id", "target"), ["repo", "path", "name"]).join(first, ["repo", "path", "enclosing"], "left")
+    first = symbols(links.files).filter("ordinal = 1").select("repo", "path", F.col("qualified_name").alias("enclosing"), F.col("id").alias("caller"))
+    r = linking.merged_references(links.bound).join(first, ["repo", "path", "enclosing"], "left")
     source = F.coalesce("caller", node_id(F.col("repo"), F.col("path")))
-    return found.groupBy("repo", "path", source.alias("source"), "target").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("line")).alias("lines"))
+    merged = r.groupBy("repo", "path", "in_file", source.alias("source"), _symbol("in_file", "qualified").alias("target"), F.col("kind").alias("type"))
+    return merged.agg(F.sum("count").cast("long").alias("count"), F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+
 
+def http_edges(files: DataFrame) -> DataFrame:
+    """source, target, type, repo, count: from handlers to their routes (HANDLES) and from callers to the routes that serve
+    them (REQUESTS); of an end without a definition the file stands for it."""
+    first = symbols(files).filter("ordinal = 1").select("repo", "path", F.col("qualified_name").alias("who"), F.col("id").alias("known"))
+    file = node_id(F.col("repo"), F.col("path"))
+    handles = routes(files).withColumn("who", F.col("handler")).join(first, ["repo", "path", "who"], "left").select(F.coalesce("known", file).alias("source"), F.col("id").alias("target"), F.lit("HANDLES").alias("type"), "repo")
+    asked = matched_requests(files).filter("route IS NOT NULL").withColumn("who", F.col("caller")).join(first, ["repo", "path", "who"], "left")
+    requests = asked.select(F.coalesce("known", file).alias("source"), route_id(F.col("repo"), F.col("method"), F.col("route")).alias("target"), F.lit("REQUESTS").alias("type"), "repo")
+    return handles.unionByName(requests).groupBy("source", "target", "type", "repo").agg(F.count(F.lit(1)).alias("count"))
 
-def edges(files: DataFrame) -> DataFrame:
-    """source, target, type, repo, count of all edges. The key is source, type and target."""
-    one = F.lit(1).cast("long")
+
+def edges(links: Links) -> DataFrame:
+    """source, target, type, repo, count of all edges, summaries between outermost folders too. The key is source, type and
+    target."""
+    files, one = links.files, F.lit(1).cast("long")
     above = F.coalesce(F.when(owning_module(F.col("path")).isNotNull(), node_id(F.col("repo"), owning_module(F.col("path")))), F.col("repo"))
     m = files.select("repo", F.explode(ancestry(owning_module(F.col("path")))).alias("m")).distinct()
     up = F.when(F.contains("m", F.lit("/")), node_id(F.col("repo"), F.regexp_replace("m", "/[^/]*$", ""))).otherwise(F.col("repo"))
     s = symbols(files)
     own = s.filter("ordinal = 1").select("repo", "path", F.col("qualified_name").alias("parent"), F.col("id").alias("__parent"))
     members = s.join(own, ["repo", "path", "parent"], "left")
+    pack = packages(links)
+    inside = lambda df, m: df.select("repo", "id").distinct().select(node_id(F.col("repo"), F.lit(m)).alias("source"), F.col("id").alias("target"), F.lit("CONTAINS").alias("type"), "repo", one.alias("count"))
+    roots = lambda df, m: df.select("repo").distinct().select(F.col("repo").alias("source"), node_id(F.col("repo"), F.lit(m)).alias("target"), F.lit("CONTAINS").alias("type"), "repo", one.alias("count"))
+    depends, external = module_dependencies(links), external_use(links)
     parts = [
         m.select(up.alias("source"), node_id(F.col("repo"), F.col("m")).alias("target"), F.lit("CONTAINS").alias("type"), "repo", one.alias("count")),
         files.select(above.alias("source"), node_id(F.col("repo"), F.col("path")).alias("target"), F.lit("CONTAINS").alias("type"), "repo", one.alias("count")),
+        inside(pack, EXTERNAL), roots(pack, EXTERNAL), inside(routes(files), ROUTES), roots(routes(files), ROUTES),
         members.select(F.coalesce("__parent", node_id(F.col("repo"), F.col("path"))).alias("source"), F.col("id").alias("target"), F.when(F.col("__parent").isNull(), "DEFINES").otherwise("HAS_MEMBER").alias("type"), "repo", one.alias("count")),
-        resolved_imports(files).filter("target IS NOT NULL").groupBy("repo", "path", "target").agg(F.count(F.lit(1)).alias("count")).select(node_id(F.col("repo"), F.col("path")).alias("source"), node_id(F.col("repo"), F.col("target")).alias("target"), F.lit("IMPORTS").alias("type"), "repo", "count"),
-        packages(files).select(node_id(F.col("repo"), F.col("path")).alias("source"), F.col("id").alias("target"), F.lit("USES_PACKAGE").alias("type"), "repo", "count"),
-        references(files).select("source", "target", F.lit("CALLS").alias("type"), "repo", "count"),
+        file_imports(links).select(node_id(F.col("repo"), F.col("path")).alias("source"), node_id(F.col("repo"), F.col("target")).alias("target"), F.lit("IMPORTS").alias("type"), "repo", "count"),
+        pack.select(node_id(F.col("repo"), F.col("path")).alias("source"), F.col("id").alias("target"), F.lit("USES_PACKAGE").alias("type"), "repo", "count"),
+        references(links).select("source", "target", "type", "repo", "count"),
+        http_edges(files).select("source", "target", "type", "repo", "count"),
+        depends.select(node_id(F.col("repo"), F.col("source")).alias("source"), node_id(F.col("repo"), F.col("target")).alias("target"), F.lit("DEPENDS_ON").alias("type"), "repo", F.col("weight").alias("count")),
+        external.select(node_id(F.col("repo"), F.col("module")).alias("source"), node_id(F.col("repo"), F.lit(EXTERNAL)).alias("target"), F.lit("USES_EXTERNAL").alias("type"), "repo", F.col("weight").alias("count")),
     ]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["source", "type", "target"])
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "target", "type", "repo").agg(F.max("count").alias("count"))
 
 
-def module_dependencies(files: DataFrame) -> DataFrame:
+def module_dependencies(links: Links) -> DataFrame:
     """repo, source, target, weight: imports between outermost folders, those within one left out."""
-    r = resolved_imports(files).filter("target IS NOT NULL")
+    r = links.imports.filter("target IS NOT NULL")
     return r.select("repo", outer_module(F.col("path")).alias("source"), outer_module(F.col("target")).alias("target")).filter("source <> target").groupBy("repo", "source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def package_use(files: DataFrame) -> DataFrame:
-    """repo, module, package, weight: how often the outermost folders use each package."""
-    return packages(files).select("repo", outer_module(F.col("path")).alias("module"), F.col("name").alias("package"), "count").filter("module IS NOT NULL").groupBy("repo", "module", "package").agg(F.sum("count").alias("weight"))
+def external_use(links: Links) -> DataFrame:
+    """repo, module, weight: how many uses of a package by a file an outermost folder holds."""
+    return packages(links).select("repo", outer_module(F.col("path")).alias("module"), "name").filter("module IS NOT NULL").groupBy("repo", "module").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def resolution_stats(files: DataFrame) -> DataFrame:
-    """One row per repository: imports, resolved and to packages, calls with a known target, and their shares (4 digits;
-    1.0 where there's nothing to resolve)."""
-    i = resolved_imports(files).groupBy("repo").agg(F.count(F.lit(1)).alias("imports"), F.sum(F.col("target").isNotNull().cast("long")).alias("internal"), F.sum(F.col("package").isNotNull().cast("long")).alias("external"))
-    c = files.groupBy("repo").agg(F.sum(F.size("calls")).cast("long").alias("calls"))
-    k = references(files).groupBy("repo").agg(F.sum("count").cast("long").alias("known"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
-    share = lambda a, b: F.when(F.coalesce(b, F.lit(0)) > 0, F.round(F.coalesce(a, F.lit(0)) / F.col(b), 4)).otherwise(1.0)
-    return c.join(i, "repo", "left").join(k, "repo", "left").select(
-        "repo", zero("imports"), zero("internal"), zero("external"), zero("calls"), zero("known"), share("internal", "imports").alias("import_share"), share("known", "calls").alias("call_share")
-    )
+def file_rank(links: Links) -> DataFrame:
+    """repo, path, rank, names: what other files import of and refer to in a file, and half of what it does; and its most
+    used exported names, KEY_NAMES at most, in the order of use, then of definition."""
+    i = links.imports.filter("target IS NOT NULL AND target <> path").select("repo", "path", "target")
+    r = linking.merged_references(links.bound).filter("in_file <> path")
+    ends = i.unionByName(r.select("repo", "path", F.col("in_file").alias("target")))
+    into = ends.select("repo", F.col("target").alias("path"), F.lit(1.0).alias("r"))
+    rank = into.unionByName(ends.select("repo", "path", F.lit(OUTWARD).alias("r"))).groupBy("repo", "path").agg(F.sum("r").alias("rank"))
+    used = r.groupBy("repo", F.col("in_file").alias("path"), F.col("qualified").alias("name")).agg(F.sum("count").alias("n"))
+    d = links.files.select("repo", "path", F.posexplode("definitions").alias("pos", "d")).filter("d.parent IS NULL").select("repo", "path", "pos", "d.name", F.coalesce("d.exported", F.lit(False)).alias("exported"))
+    d = d.withColumn("any", F.max("exported").over(Window.partitionBy("repo", "path"))).filter("exported OR NOT any").groupBy("repo", "path", "name").agg(F.min("pos").alias("pos"))
+    d = d.join(used, ["repo", "path", "name"], "left")
+    names = d.groupBy("repo", "path").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "pos", "name"))), lambda x: x["name"]), 1, KEY_NAMES).alias("names"))
+    none = F.array().cast("array<string>")
+    return links.files.select("repo", "path").join(rank, ["repo", "path"], "left").join(names, ["repo", "path"], "left").select("repo", "path", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("names", none).alias("names"))
 
 
 def degrees(edge: DataFrame, kinds: list[str]) -> DataFrame:
@@ -203,7 +224,7 @@ def degrees(edge: DataFrame, kinds: list[str]) -> DataFrame:
 
 def top_children(edge: DataFrame, kinds: list[str], k: int) -> DataFrame:
     """parent, id, degree, rank: the k children of each container that have most edges of these kinds, then by id."""
-    children = edge.filter(F.col("type").isin("CONTAINS", "DEFINES", "HAS_MEMBER")).select(F.col("source").alias("parent"), F.col("target").alias("id"))
+    children = edge.filter(F.col("type").isin(CONTAINMENT)).select(F.col("source").alias("parent"), F.col("target").alias("id"))
     ranked = children.join(degrees(edge, kinds), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
     w = Window.partitionBy("parent").orderBy(F.desc("degree"), "id")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -238,7 +259,7 @@ def neighbourhood(edge: DataFrame, starts: DataFrame, depth: int, direction: str
 
 def subtree(edge: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
     """root, id, parent, depth: containment below each root, level by level; a node's parent is the smallest of several."""
-    c = edge.filter(F.col("type").isin("CONTAINS", "DEFINES", "HAS_MEMBER")).select(F.col("source").alias("p"), F.col("target").alias("c"))
+    c = edge.filter(F.col("type").isin(CONTAINMENT)).select(F.col("source").alias("p"), F.col("target").alias("c"))
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
     frontier = seen
     for d in range(1, levels + 1):
@@ -276,11 +297,3 @@ def _chain(node: Column) -> Column:
     ups = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.concat(repo, F.lit(":"), F.array_join(F.slice(parts, 1, n), "/")))
     inner = F.when(F.contains(rest, F.lit("#")), F.concat(F.array(node), ups)).otherwise(ups)
     return F.when(F.contains(node, F.lit(":")), F.concat(inner, F.array(repo))).otherwise(F.array(node))
-
-
-def file_rank(files: DataFrame) -> DataFrame:
-    """repo, path, rank: incoming imports, and half the outgoing ones."""
-    i = resolved_imports(files).filter("target IS NOT NULL")
-    into = i.select("repo", F.col("target").alias("path"), F.lit(1.0).alias("r"))
-    out = i.select("repo", "path", F.lit(0.5).alias("r"))
-    return into.unionByName(out).groupBy("repo", "path").agg(F.sum("r").alias("rank"))
