@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.functions.text import identifier_words
+from weftwork.functions.text import identifier_words, words
 
 # What a matching word counts in each field, and what a prefix of a word counts.
 FIELD_BOOSTS = {"name": 4.0, "path": 2.0, "file_path": 2.0, "signature": 1.0, "docstring": 0.5}
@@ -28,7 +28,8 @@ def _equals(word: str) -> Callable[[Column], Column]:
 def keyword_score(nodes: DataFrame, words: list[str]) -> DataFrame:
     """nodes with `score`, the boosts of the fields that hold each word; nodes without any match are left out.
 
-    nodes: name, path, file_path, qualified_name, signature, docstring.
+    nodes: name, path, file_path, qualified_name, signature, docstring. A question has MAX_WORDS words; later ones don't
+    count.
     """
     words = [w.lower() for w in words[:MAX_WORDS]]
     tokens = {f: identifier_words(F.coalesce(f, F.lit(""))) for f in FIELD_BOOSTS}
@@ -43,20 +44,13 @@ def keyword_score(nodes: DataFrame, words: list[str]) -> DataFrame:
     return n.withColumn("score", score).filter("score > 0").drop(*[f"__{f}" for f in FIELD_BOOSTS], "__words")
 
 
-def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, doc_len: the term counts of each document; white space and case don't matter."""
-    words = documents.select(key, F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != "").alias("w"))
-    return words.select(key, F.size("w").alias("doc_len"), F.explode("w").alias("term")).groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(documents: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score of every document that holds a term. Statistics are those of all documents.
 
     Only the terms asked for are counted, inside the scan; document frequency and mean length need one more aggregate.
     """
     terms = sorted({t.lower() for t in terms})
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != "")
-    d = documents.select(key, words.alias("w")).select(key, F.size("w").alias("n"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    d = documents.select(key, words(F.col(text)).alias("w")).select(key, F.size("w").alias("n"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     st = d.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))]).first()
     score: Column = F.lit(0.0)
     for i in range(len(terms)):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import text as X
 from weftwork.operators import incremental as I
+from weftwork.operators import running as N
 from weftwork.tables import table
 
 
@@ -89,17 +90,15 @@ def sl2_keyset_page(spark, folder):
 
 def wn6_neighbours(spark, folder):
     """The ranks before and after each item in its column (WN6, FN32): and the midpoint to move below it."""
-    s = items(spark, folder).filter("rank IS NOT NULL")
-    w = Window.partitionBy("workspace_id", "status").orderBy("rank", "item_id")
-    nxt = F.lead("rank").over(w)
-    return s.select("item_id", F.round(F.coalesce(F.lag("rank").over(w), F.lit(-1.0)), 6).alias("before"), F.round(F.coalesce((F.col("rank") + nxt) / 2, F.col("rank") + 1), 6).alias("between"), F.coalesce(nxt - F.col("rank") < 1e-6, F.lit(False)).alias("renumber"))
+    s = N.neighbours(items(spark, folder).filter("rank IS NOT NULL").select("item_id", "workspace_id", "status", "rank"), ["workspace_id", "status"], ["rank", "item_id"], "rank", "last", "next")
+    rank, nxt = F.col("rank"), F.col("next")
+    return s.select("item_id", F.round(F.coalesce("last", F.lit(-1.0)), 6).alias("before"), F.round(F.coalesce((rank + nxt) / 2, rank + 1), 6).alias("between"), F.coalesce(nxt - rank < 1e-6, F.lit(False)).alias("renumber"))
 
 
 def wn7_renumbered(spark, folder):
     """Ranks 1 to n by rank and id (WN7)."""
-    s = items(spark, folder)
-    w = Window.partitionBy("workspace_id", "status").orderBy(F.col("rank").asc_nulls_first(), "item_id")
-    return s.select("item_id", F.row_number().over(w).cast("double").alias("rank"))
+    s = items(spark, folder).select("item_id", "workspace_id", "status", "rank")
+    return N.numbered(s, ["workspace_id", "status"], [F.col("rank").asc_nulls_first(), F.col("item_id").asc()]).select("item_id", F.col("number").cast("double").alias("rank"))
 
 
 def wn9_overflow(spark, folder):
@@ -134,7 +133,7 @@ def jn23_strongest_relation(spark, folder):
     """The strongest of several reasons that tie a comment to an item: its own, named, or by the same person (JN23, ST1, ST6).
 
     A comment and an item of one workspace are by the same person if the comment's author reported the item or has it.
-    The SQL has the first two reasons only. SURVEY JN23's quoted and similar tiers aren't built."""
+    SURVEY JN23's quoted and similar tiers aren't built."""
     c, s = table(spark, folder, "comments").filter("item_id IS NOT NULL"), items(spark, folder)
     own = c.join(s.select("item_id"), "item_id").select("row_id", "item_id", F.lit(0).alias("p"))
     named = jn22_mentions(spark, folder).select("row_id", "item_id", F.lit(1).alias("p"))
@@ -153,12 +152,12 @@ def jn26_item_board(spark, folder):
 
 
 def jn6_evidence_state(spark, folder):
-    """Whether the beginning of a comment is quoted, unchanged, in its item's text (JN5, JN6, JN15, FN8, FN9).
+    """Whether the first sentence of a comment is quoted, unchanged, in its item's text (JN6, JN15, FN8).
 
-    The SQL compares those in ASCII only and counts the others as 'skipped'."""
+    A quote is all up to the first full stop or line end, however long. The SQL folds case as far as DuckDB can: lower case, ß and ς."""
     c = table(spark, folder, "comments").filter("item_id IS NOT NULL")
     s = items(spark, folder).select("item_id", F.col("description_md").alias("source"))
-    quote = F.regexp_extract(F.coalesce("body", F.lit("")), r"^([^.\n]{1,80})", 1)
+    quote = F.regexp_extract(F.coalesce("body", F.lit("")), r"^([^.\n]+)", 1)
     j = c.join(s.withColumn("had", F.lit(True)), "item_id", "left")
     state = F.when(F.col("had").isNull(), "missing").when(X.quote_in(F.coalesce("source", F.lit("")), quote), "current").otherwise("changed")
     return j.select(state.alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
@@ -198,7 +197,8 @@ def sk13_numbered(spark, folder):
     s = items(spark, folder)
     base = s.filter("key IS NOT NULL").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("base"))
     new = s.withColumn("bare", F.coalesce("external_id", F.lit("")) == "").filter("bare").join(base, "workspace_id", "left")
-    return I.numbered(new, ["workspace_id"], ["created_at", "item_id"], F.coalesce("base", F.lit(0))).select("item_id", "number")
+    new = new.select("item_id", "workspace_id", "created_at", "base")
+    return N.numbered(new, ["workspace_id"], [F.col("created_at").asc(), F.col("item_id").asc()]).select("item_id", (F.col("number") + F.coalesce("base", F.lit(0))).alias("number"))
 
 
 def sk11_label_changes(spark, folder):
@@ -218,10 +218,13 @@ def st1_found_everywhere(spark, folder):
 
 
 def jn12_sync_plan(spark, folder):
-    """What to read again, what is unchanged, what is gone, between the first two snapshots of each repository (JN12, AG18, WN10)."""
-    f = table(spark, folder, "facts_py")
-    one = lambda n: I.newest(f.filter(F.col("snapshot_no") == n), ["repo", "path"], [F.desc("extracted_at"), F.desc("row_id")]).select("repo", "path", "content_hash")
-    return I.sync_plan(one(2), one(1), ["repo", "path"], "content_hash").groupBy("repo", "action").agg(F.count(F.lit(1)).alias("n"))
+    """What to read again, what is unchanged, what is gone, between all consecutive snapshots of each repository (JN12, AG18)."""
+    f = I.newest(table(spark, folder, "facts_py"), ["repo", "path", "snapshot_no"], [F.desc("extracted_at"), F.desc("row_id")]).select("repo", "path", "snapshot_no", "content_hash")
+    had = f.select("repo", "snapshot_no").distinct()
+    later = had.withColumn("next_no", F.lead("snapshot_no").over(Window.partitionBy("repo").orderBy("snapshot_no"))).filter("next_no IS NOT NULL")
+    stored = f.join(later, ["repo", "snapshot_no"]).select("repo", "path", F.col("next_no").alias("snapshot_no"), "content_hash")
+    found = f.join(later.select("repo", F.col("next_no").alias("snapshot_no")), ["repo", "snapshot_no"], "left_semi")
+    return I.sync_plan(found, stored, ["repo", "snapshot_no", "path"], "content_hash").groupBy("repo", "snapshot_no", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sk8_shed_rows(spark, folder):
@@ -246,10 +249,8 @@ def ag3_group_sizes(spark, folder):
 
 def sl12_budget_cut(spark, folder):
     """Pages of a space in order of id until 20,000 characters are used up (SL12, WN10)."""
-    d = table(spark, folder, "documents")
-    w = Window.partitionBy("space_key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.coalesce("n_chars", F.lit(0))).over(w)
-    return d.withColumn("used", used).filter("used <= 20000").groupBy("space_key").agg(F.count(F.lit(1)).alias("pages"), F.max("used").alias("used"))
+    d = N.running_sums(table(spark, folder, "documents").select("doc_id", "space_key", "n_chars"), ["space_key"], [F.col("doc_id").asc()], {"used": F.col("n_chars")})
+    return d.filter("used <= 20000").groupBy("space_key").agg(F.count(F.lit(1)).alias("pages"), F.max("used").cast("long").alias("used"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -260,6 +261,9 @@ QUERIES = {f.__name__: f for f in (
 _I = "s AS (SELECT * FROM service QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC NULLS LAST, row_id DESC) = 1)"
 _CM = "c AS (SELECT * FROM comments QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY updated_at DESC NULLS LAST, row_id DESC) = 1)"
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: White space as Unicode knows it, and case folding as far as the tables need it.
+_WIDE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]+"
+FOLD = r"replace(replace(lower(trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '" + _WIDE.replace("{", "{{").replace("}", "}}") + r"', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
 _SN = _PLAIN.format(x="coalesce(description_md, '')")
 _MEN = r"m AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(body, '\b([A-Z][A-Z0-9]{1,9}-[0-9]+)\b', 1))) AS key FROM comments), jm AS (SELECT DISTINCT m.row_id, m.key, t.id AS item_id FROM m JOIN (SELECT DISTINCT key, id FROM sample_jira_tickets) t ON t.key = m.key)"
 SQL = {
@@ -281,11 +285,13 @@ SELECT * FROM (SELECT item_id, tier, CAST(row_number() OVER (PARTITION BY tier O
     "jn30_comment_overlay": f"WITH {_CM}, a AS (SELECT * FROM c WHERE external_id IS NOT NULL), o AS (SELECT workspace_id, external_id, comment_id AS local_id, author.name AS local_name FROM a WHERE author IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workspace_id, external_id ORDER BY created_at, comment_id) = 1) SELECT a.comment_id, coalesce(o.local_id, 'tracker:' || a.external_id) AS shown_id, coalesce(o.local_name, '') AS name FROM a LEFT JOIN o USING (workspace_id, external_id)",
     "jn37_orphans": "SELECT workspace_id, count(*) AS rows, count(DISTINCT item_id) AS items FROM comments WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM service WHERE item_id IS NOT NULL) GROUP BY 1",
     "jn22_mentions": f"WITH {_I}, {_MEN} SELECT * FROM jm",
-    "jn23_strongest_relation": f"WITH {_I}, {_MEN}, r AS (SELECT c.row_id, c.item_id, 0 AS p FROM comments c JOIN s ON s.item_id = c.item_id UNION ALL SELECT row_id, item_id, 1 FROM jm) SELECT p, count(*) AS n FROM (SELECT row_id, item_id, min(p) AS p FROM r GROUP BY 1, 2) GROUP BY p",
+    "jn23_strongest_relation": f"""WITH {_I}, {_MEN}, pp AS (SELECT DISTINCT workspace_id, item_id, person FROM (SELECT workspace_id, item_id, unnest([assignee.id, reporter.id]) AS person FROM s) WHERE person IS NOT NULL),
+r AS (SELECT c.row_id, c.item_id, 0 AS p FROM comments c JOIN s ON s.item_id = c.item_id UNION ALL SELECT row_id, item_id, 1 FROM jm UNION ALL SELECT c.row_id, pp.item_id, 2 FROM comments c JOIN pp ON pp.workspace_id = c.workspace_id AND pp.person = c.author.id)
+SELECT p, count(*) AS n FROM (SELECT row_id, item_id, min(p) AS p FROM r GROUP BY 1, 2) GROUP BY p""",
     "jn26_item_board": f"WITH {_I}, z AS (SELECT workspace_id, source, target_key, count(*) AS n FROM s WHERE target_key IS NOT NULL GROUP BY 1, 2, 3) SELECT item_id, coalesce(n, 0) AS size FROM s LEFT JOIN z USING (workspace_id, source, target_key)",
-    "jn6_evidence_state": f"""WITH {_I}, j AS (SELECT regexp_extract(coalesce(c.body, ''), '^([^.\\n]{{1,80}})', 1) AS q, s.description_md AS src, s.item_id AS had FROM comments c LEFT JOIN s ON s.item_id = c.item_id WHERE c.item_id IS NOT NULL),
-n AS (SELECT had, regexp_matches(q || coalesce(src, ''), '[^\\x00-\\x7F]') AS odd, lower({_PLAIN.format(x="q")}) AS nq, lower({_PLAIN.format(x="coalesce(src, '')")}) AS ns FROM j)
-SELECT CASE WHEN had IS NULL THEN 'missing' WHEN odd THEN 'skipped' WHEN length(nq) > 0 AND contains(ns, nq) THEN 'current' ELSE 'changed' END AS state, count(*) AS n FROM n GROUP BY 1""",
+    "jn6_evidence_state": f"""WITH {_I}, j AS (SELECT regexp_extract(coalesce(c.body, ''), '^([^.\\n]+)', 1) AS q, s.description_md AS src, s.item_id AS had FROM comments c LEFT JOIN s ON s.item_id = c.item_id WHERE c.item_id IS NOT NULL),
+n AS (SELECT had, {FOLD.format(x="q")} AS nq, {FOLD.format(x="coalesce(src, '')")} AS ns FROM j)
+SELECT CASE WHEN had IS NULL THEN 'missing' WHEN length(nq) > 0 AND contains(ns, nq) THEN 'current' ELSE 'changed' END AS state, count(*) AS n FROM n GROUP BY 1""",
     "sk5_upserted": f"WITH {_I}, f AS (SELECT * FROM service QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY updated_at ASC NULLS FIRST, row_id) = 1) SELECT s.item_id, s.row_id, round(f.rank, 6) AS rank, CAST(length(coalesce(s.description_md, '')) AS INTEGER) AS size FROM s JOIN f USING (item_id)",
     "sk6_inserted_absent": "WITH a AS (SELECT workspace_id, name FROM members WHERE role = 'owner' OR role = 'admin'), b AS (SELECT DISTINCT workspace_id, name FROM members), r AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.workspace_id = b.workspace_id AND a.name IS NOT DISTINCT FROM b.name)) SELECT workspace_id, count(*) AS n FROM r GROUP BY 1",
     "sk10_versioned": "WITH x AS (SELECT *, doc_id % 3 = 0 AND doc_id % 2 = 0 AND version IS NOT NULL AS hit FROM documents), y AS (SELECT CASE WHEN hit THEN 'renamed' ELSE title END AS t, version + CAST(hit AS INT) AS v FROM x) SELECT t = 'renamed' AS renamed, count(*) AS n, CAST(sum(v) AS BIGINT) AS versions FROM y GROUP BY 1",
@@ -294,8 +300,10 @@ SELECT CASE WHEN had IS NULL THEN 'missing' WHEN odd THEN 'skipped' WHEN length(
     "sk11_label_changes": f"WITH {_I} SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(coalesce(labels, []), lambda x: x <> 'bridge'), ['seen']))), ',') AS labels FROM s",
     "st1_found_everywhere": f"""WITH {_I} SELECT 'item' AS kind, count(*) AS n, count(DISTINCT item_id) AS ids FROM s WHERE contains(lower(coalesce(title, '')), 'sync') OR contains(lower(coalesce(description_md, '')), 'sync')
 UNION ALL SELECT 'page', count(*), count(DISTINCT doc_id) FROM documents WHERE contains(lower(coalesce(text, '')), 'sync') UNION ALL SELECT 'comment', count(*), count(DISTINCT comment_id) FROM comments WHERE contains(lower(coalesce(body, '')), 'sync')""",
-    "jn12_sync_plan": """WITH x AS (SELECT * FROM facts_py QUALIFY row_number() OVER (PARTITION BY repo, path, snapshot_no ORDER BY extracted_at DESC, row_id DESC) = 1), f AS (SELECT * FROM x WHERE snapshot_no = 2), o AS (SELECT * FROM x WHERE snapshot_no = 1)
-SELECT repo, action, count(*) AS n FROM (SELECT coalesce(f.repo, o.repo) AS repo, CASE WHEN f.repo IS NULL THEN 'deleted' WHEN f.content_hash = o.content_hash THEN 'unchanged' ELSE 'extract' END AS action FROM f FULL JOIN o ON f.repo = o.repo AND f.path = o.path) GROUP BY 1, 2""",
+    "jn12_sync_plan": """WITH x AS (SELECT repo, path, snapshot_no, content_hash FROM facts_py QUALIFY row_number() OVER (PARTITION BY repo, path, snapshot_no ORDER BY extracted_at DESC, row_id DESC) = 1),
+h AS (SELECT repo, snapshot_no, lead(snapshot_no) OVER (PARTITION BY repo ORDER BY snapshot_no) AS nx FROM (SELECT DISTINCT repo, snapshot_no FROM x)),
+o AS (SELECT x.repo, x.path, h.nx AS s, x.content_hash FROM x JOIN h USING (repo, snapshot_no) WHERE nx IS NOT NULL), f AS (SELECT x.repo, x.path, x.snapshot_no AS s, x.content_hash FROM x JOIN h ON h.repo = x.repo AND h.nx = x.snapshot_no)
+SELECT repo, s AS snapshot_no, action, count(*) AS n FROM (SELECT coalesce(f.repo, o.repo) AS repo, coalesce(f.s, o.s) AS s, CASE WHEN f.repo IS NULL THEN 'deleted' WHEN f.content_hash = o.content_hash THEN 'unchanged' ELSE 'extract' END AS action FROM f FULL JOIN o ON f.repo = o.repo AND f.path = o.path AND f.s = o.s) GROUP BY 1, 2, 3""",
     "sk8_shed_rows": "SELECT (len(calls) + len(definitions) > 60) OR truncated AS truncated, count(*) AS n, CAST(sum(CASE WHEN len(calls) + len(definitions) > 60 THEN 0 ELSE len(calls) END) AS BIGINT) AS calls FROM facts_py GROUP BY 1",
     "fn22_flat_issues": """SELECT row_id, key, fields.status.name AS status, coalesce(fields.assignee.accountId, '') AS assignee, CAST(coalesce(len(fields.labels), 0) AS INTEGER) AS labels,
 coalesce(CAST(epoch(coalesce(try_strptime(regexp_replace(fields.created, 'Z$', '+0000'), '%Y-%m-%dT%H:%M:%S.%g%z'), try_strptime(regexp_replace(fields.created, 'Z$', '+0000'), '%Y-%m-%dT%H:%M:%S%z'))) AS BIGINT), 0) AS created_s FROM sample_jira_tickets""",

@@ -9,6 +9,7 @@ from weftwork.functions import text as X
 from weftwork.functions.ids import containers, is_within
 from weftwork.operators import codegraph as G
 from weftwork.operators import search as S
+from weftwork.plans.board_plans import FOLD
 from weftwork.plans.graph_plans import files
 from weftwork.tables import table
 
@@ -110,7 +111,7 @@ def rt14_same_words(spark, folder):
     from weftwork.plans.board_plans import items
 
     s = items(spark, folder)
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_]+"), lambda w: F.length(w) > 2))
+    words = lambda c: F.array_distinct(F.filter(X.words(c), lambda w: F.length(w) > 2))
     longest = F.slice(F.array_sort(F.transform(words(F.col("title")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 5)
     q = s.select(F.col("item_id").alias("query_id"), "workspace_id", F.transform(longest, lambda x: x["w"]).alias("ws")).filter(F.size("ws") == 5)
     rare = q.select("query_id", "workspace_id", "ws", F.element_at("ws", 1).alias("w"))
@@ -133,7 +134,7 @@ def fn10_redacted(spark, folder):
 
 
 def fn8_fingerprints(spark, folder):
-    """Fingerprints of comments, unmoved by marks, spacing and case (FN8, FN9). The SQL has only those in ASCII."""
+    """Fingerprints of comments, unmoved by marks, spacing and case (FN8, FN9)."""
     c = table(spark, folder, "comments").filter("body IS NOT NULL")
     return c.select("row_id", X.fingerprint(F.col("body")).alias("fp"))
 
@@ -152,7 +153,7 @@ def fn1_identifier_words(spark, folder):
 
 def fn4_stems(spark, folder):
     """Stems of the words of titles (FN4, FN5)."""
-    d = table(spark, folder, "documents").select(F.explode(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^a-z]+")).alias("word")).filter("length(word) > 2").distinct()
+    d = table(spark, folder, "documents").select(F.explode(X.words(F.col("title"))).alias("word")).filter("length(word) > 2").distinct()
     return d.select("word", X.stem(F.col("word")).alias("stem"))
 
 
@@ -180,9 +181,9 @@ QUERIES = {f.__name__: f for f in (
 
 _COS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, label AS ql, e AS qe FROM v WHERE vec_id % 20 = 0), n AS (SELECT query_id, vec_id, ql, label, list_cosine_similarity(qe, e) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, e), 12) DESC, vec_id) AS rank FROM q, v)"
 _LISTS = f"{_COS}, nr AS (SELECT query_id, vec_id AS item_id, score, rank FROM n WHERE rank <= 20 AND query_id <> vec_id), fw AS (SELECT label, vec_id AS item_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM v), wd AS (SELECT query_id, item_id, 30.0::DOUBLE - rank AS score, rank FROM q JOIN fw ON fw.label = q.ql WHERE rank <= 20)"
-_TOK = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9_]+'), lambda w: w <> '')"
+_TOK = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: w <> '')"
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '\s+', ' ', 'g'))"
-_LONG = "list_filter(list_distinct(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9_]+')), lambda w: length(w) > 2)"
+_LONG = "list_filter(list_distinct(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')), lambda w: length(w) > 2)"
 _TERMS = ("cache", "folder", "tracker")
 _S = "s AS (SELECT * FROM service QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC NULLS LAST, row_id DESC) = 1)"
 
@@ -208,10 +209,10 @@ SELECT CASE WHEN code THEN 'keyword' WHEN regexp_matches(x, '(?i)\b(?:structur\w
     "sc10_line_hits": """WITH l AS (SELECT block_id, k - 1 AS line_no, lower(lines[k]) AS x FROM (SELECT block_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM context)), h AS (SELECT block_id, line_no, t AS term FROM l, (SELECT unnest(['scanner', 'queue', 'return']) AS t) WHERE contains(x, t)),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY block_id ORDER BY line_no) AS d FROM h), g AS (SELECT *, count(*) OVER (PARTITION BY block_id ORDER BY line_no RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS near FROM r WHERE d <= 20)
 SELECT block_id, count(DISTINCT term) AS terms, count(*) AS hits, CAST(greatest(arg_max(line_no, struct_pack(a := near, b := -line_no)) - 12, 1) AS INTEGER) AS first_line, CAST(arg_max(line_no, struct_pack(a := near, b := -line_no)) + 12 AS INTEGER) AS last_line FROM g GROUP BY 1""",
-    "fn8_fingerprints": f"SELECT row_id, left(sha256(lower({_PLAIN.format(x='body')})), 16) AS fp FROM comments WHERE body IS NOT NULL AND NOT regexp_matches(body, '[^\\x00-\\x7F]')",
+    "fn8_fingerprints": f"SELECT row_id, left(sha256({FOLD.format(x='body')}), 16) AS fp FROM comments WHERE body IS NOT NULL",
     "fn12_route_paths": r"""WITH t AS (SELECT DISTINCT unnest(list_transform(routes, lambda r: r.path)) AS declared FROM facts_py), q AS (SELECT declared, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(declared), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '[?#].*$', ''), '[{][^/}]*[}]|:[^/]+|\[[^/\]]*\]', '*', 'g'), '/{2,}', '/', 'g'), '/+$', '') AS q FROM t)
 SELECT declared, CASE WHEN q = '' THEN '/' WHEN starts_with(q, '/') THEN q ELSE '/' || q END AS route FROM q""",
-    "fn4_stems": """WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z]+')) AS word FROM documents) WHERE length(word) > 2),
+    "fn4_stems": """WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{L}\\p{M}\\p{N}_]+')) AS word FROM documents) WHERE length(word) > 2),
 x AS (SELECT word, CASE WHEN word LIKE '%ing' AND length(word) >= 7 THEN left(word, length(word) - 3) WHEN word LIKE '%ed' AND NOT (word LIKE '%ing') AND length(word) >= 6 THEN left(word, length(word) - 2) END AS b FROM w)
 SELECT word, CASE WHEN b IS NOT NULL THEN CASE WHEN length(b) > 3 AND b[-1] = b[-2] THEN left(b, length(b) - 1) ELSE b END WHEN length(word) > 4 AND word LIKE '%s' AND NOT word LIKE '%ss' THEN left(word, length(word) - 1) ELSE word END AS stem FROM x""",
     "fn44_clipped": r"SELECT doc_id, left(translate(trim(regexp_replace(title, '\s+', ' ', 'g')), '<>[]', '‹›⟦⟧'), 40) AS clean, CASE WHEN length(title) > 20 THEN left(title, 19) || '…' ELSE title END AS short FROM documents WHERE title IS NOT NULL",

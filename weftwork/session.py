@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,10 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="weftwork-")
+        atexit.register(shutil.rmtree, folder, True)
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that this process has written, until they are dropped.
+_written: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables that materialised() has written so far, when no result reads them any more; how many."""
+    jvm, n = spark._jvm, len(_written)
+    for path in _written:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
+    return n
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a Parquet table in the shared folder, where it outlives lost executors.
 
@@ -49,6 +66,7 @@ def materialised(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
