@@ -154,7 +154,7 @@ def jn26_item_board(spark, folder):
 def jn6_evidence_state(spark, folder):
     """Whether the first sentence of a comment is quoted, unchanged, in its item's text (JN6, JN15, FN8).
 
-    A quote is all up to the first full stop or line end, however long. The SQL folds case as far as DuckDB can: lower case, ß and ς."""
+    A quote is all up to the first full stop or line end, however long. The SQL folds case as far as DuckDB can: lower case, ß, ς and ῶ."""
     c = table(spark, folder, "comments").filter("item_id IS NOT NULL")
     s = items(spark, folder).select("item_id", F.col("description_md").alias("source"))
     quote = F.regexp_extract(F.coalesce("body", F.lit("")), r"^([^.\n]+)", 1)
@@ -263,7 +263,7 @@ _CM = "c AS (SELECT * FROM comments QUALIFY row_number() OVER (PARTITION BY comm
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '\s+', ' ', 'g'))"
 #: White space as Unicode knows it, and case folding as far as the tables need it.
 _WIDE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]+"
-FOLD = r"replace(replace(lower(trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '" + _WIDE.replace("{", "{{").replace("}", "}}") + r"', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
+FOLD = r"replace(replace(replace(lower(trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '" + _WIDE.replace("{", "{{").replace("}", "}}") + r"', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ'), chr(8182), chr(969) || chr(834))"
 _SN = _PLAIN.format(x="coalesce(description_md, '')")
 _MEN = r"m AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(body, '\b([A-Z][A-Z0-9]{1,9}-[0-9]+)\b', 1))) AS key FROM comments), jm AS (SELECT DISTINCT m.row_id, m.key, t.id AS item_id FROM m JOIN (SELECT DISTINCT key, id FROM sample_jira_tickets) t ON t.key = m.key)"
 SQL = {
