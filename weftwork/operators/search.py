@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import identifier_words, words
+from weftwork.session import materialised
 
 # What a matching word counts in each field, and what a prefix of a word counts.
 FIELD_BOOSTS = {"name": 4.0, "path": 2.0, "file_path": 2.0, "signature": 1.0, "docstring": 0.5}
@@ -60,48 +62,132 @@ def bm25(documents: DataFrame, key: str, text: str, terms: list[str], k1: float
     return d.withColumn("score", score).filter("score > 0").select(key, "score")
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as unit rows; null, empty and other vectors of another length, and those without length, are rows of zeros."""
+    n = len(column)
+    out = np.zeros((n, width))
+    if n:
+        sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        fits = sizes == width
+        if fits.all():
+            out[:] = column.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+        elif fits.any():
+            out[fits] = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        out[~np.isfinite(out).all(axis=1)] = 0.0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row by score, equal ones (to 12 digits) by name."""
+    order = np.lexsort((names, -np.round(scores, 12)), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+
+
+def _ranked(found: DataFrame, k: int, query_id: str, vec_id: str) -> DataFrame:
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 12)), "v")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("v").alias(vec_id), "score", "rank")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding", least: float | None = None, block: int = 4096) -> DataFrame:
     """query_id, vec_id, score, rank: the k vectors closest to each query by cosine, exactly; ties by id.
 
-    queries is a stated set. It's taken in blocks of about `block` vectors, whose matrix goes to all tasks; a task keeps
-    the k best of each query over its whole partition, so little more than k rows per query and partition are shuffled.
-    A null vector, or one without length, has the score 0. Ids are whole numbers.
+    queries is a stated set. It's taken in blocks of about `block` vectors, one after the other: the driver and the tasks
+    hold the matrix of one block only, and a task keeps the k best of each query over its whole partition, so little more
+    than k rows per query and partition are shuffled. A null vector, or one without length, has the score 0. Ids are whole
+    numbers.
     """
     spark = queries.sparkSession
     parts = max(1, -(-queries.count() // block))
     found = None
     for part in range(parts):
-        rows = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part).select(query_id, vector).collect()
-        width = max((len(r[vector] or ()) for r in rows), default=1)
-        matrix = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            if r[vector]:
-                matrix[i] = r[vector]
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((np.array([r[query_id] for r in rows], np.int64), matrix))
+        rows = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part).select(F.col(query_id).cast("long"), vector).toArrow()
+        sizes = pc.list_value_length(rows[1]).fill_null(0).to_numpy()
+        width = int(sizes.max(initial=1)) or 1
+        shared = spark.sparkContext.broadcast((rows[0].to_numpy(), _matrix(rows[1].combine_chunks(), width)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
             ids, m = shared.value
-            best = np.full((len(ids), k), -np.inf)
-            who = np.full((len(ids), k), np.iinfo(np.int64).max)
+            best, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for b in batches:
-                v = np.zeros((b.num_rows, width))
-                for i, x in enumerate(b[1].to_pylist()):
-                    if x:
-                        v[i] = x
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                scores = np.concatenate([best, m @ v.T], axis=1)
+                scores = np.concatenate([best, m @ _matrix(b[1], width).T], axis=1)
                 names = np.concatenate([who, np.broadcast_to(b[0].to_numpy(zero_copy_only=False), (len(ids), b.num_rows))], axis=1)
-                order = np.lexsort((names, -np.round(scores, 12)), axis=1)[:, :k]
-                best, who = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+                best, who = _best(scores, names, k)
             ok = np.isfinite(best) & (best >= (-np.inf if least is None else least))
             q = np.broadcast_to(ids[:, None], best.shape)
             yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(who[ok]), pa.array(best[ok])], names=["q", "v", "score"])
 
         one = vectors.select(F.col(vec_id).cast("long"), vector).mapInArrow(run, "q long, v long, score double")
+        if parts > 1:
+            one = materialised(one)
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 12)), "v")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("v").alias(vec_id), "score", "rank")
+    return _ranked(found, k, query_id, vec_id)
+
+
+#: Rows that the index is fitted on at most, and vectors and queries that one task scores against each other.
+FITTED, CHUNK, QUERY_CHUNK = 20_000, 20_000, 2_000
+
+
+def centres(vectors: DataFrame, lists: int, *, vec_id: str = "vec_id", vector: str = "embedding", rounds: int = 12, sample: int = FITTED) -> np.ndarray:
+    """Centres of `lists` clusters by spherical k-means over a sample of at most `sample` vectors, drawn by a hash of the id."""
+    rows = vectors.filter(f"size({vector}) > 0").orderBy(F.xxhash64(vec_id)).select(vector).limit(sample).toArrow()
+    if not rows.num_rows:
+        return np.zeros((1, 1))
+    width = int(pc.list_value_length(rows[0]).to_numpy().max())
+    x = _matrix(rows[0].combine_chunks(), width)
+    lists = min(lists, len(x))
+    c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-300), c)
+    return c
+
+
+def indexed(queries: DataFrame, vectors: DataFrame, k: int, *, lists: int = 64, probes: int = 40, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score, rank: like nearest, but a query is compared only with the vectors of the `probes` clusters
+    whose centres are closest to it, so some neighbours may be missed. Of the 10 nearest of the test vectors, which are close to
+    independent of each other, it finds 94 to 95 in 100; vectors that form clusters need far fewer probes.
+
+    Every vector is indexed; only the centres come from a sample. Clusters are split into chunks of CHUNK vectors and their
+    queries into chunks of QUERY_CHUNK, so that no task holds a cluster that has grown large.
+    """
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(centres(vectors, lists, vec_id=vec_id, vector=vector))
+
+    def placed(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            for b in batches:
+                near = np.argsort(-(_matrix(b[1], c.shape[1]) @ c.T), axis=1, kind="stable")[:, :n]
+                take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b[0].take(take), b[1].take(take), pa.array(near.reshape(-1).astype(np.int32))], names=["id", "x", "list"])
+
+        return run
+
+    schema = "id long, x array<float>, list int"
+    v = materialised(vectors.select(F.col(vec_id).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(placed(1), schema))
+    q = materialised(queries.select(F.col(query_id).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(placed(probes), schema))
+    many = v.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("vs")).join(q.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("qs")), "list")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    many = F.broadcast(many)  # a row per list, of which there are `lists`
+    vc = v.join(many, "list").withColumn("vc", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int")).withColumn("qc", each("qs")).select("list", "vc", "qc", "id", "x")
+    qc = q.join(many, "list").withColumn("qc", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int")).withColumn("vc", each("vs")).select("list", "vc", "qc", "id", "x")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        width = max(1, int(pc.list_value_length(left["x"]).fill_null(0).to_numpy().max()))
+        s = _matrix(left["x"].combine_chunks(), width) @ _matrix(right["x"].combine_chunks(), width).T
+        best, who = _best(s, np.broadcast_to(right["id"].to_numpy(), s.shape), k)
+        ids = np.broadcast_to(left["id"].to_numpy()[:, None], best.shape)
+        return pa.table({"q": ids.reshape(-1), "v": who.reshape(-1), "score": best.reshape(-1)})
+
+    pairs = qc.groupBy("list", "vc", "qc").cogroup(vc.groupBy("list", "vc", "qc")).applyInArrow(score, "q long, v long, score double")
+    return _ranked(pairs, k, query_id, vec_id)
 
 
 def reciprocal_rank(lists: list[DataFrame], query: str = "query_id", item: str = "item_id", k: int = 60) -> DataFrame:
@@ -134,7 +220,11 @@ def routed_merge(keyword: DataFrame, meaning: DataFrame, keyword_leads: bool, ke
 def retrieval_quality(ranked: DataFrame, wanted: DataFrame, ks: tuple[int, ...] = (5, 10), query: str = "query_id", item: str = "item_id") -> DataFrame:
     """One row: queries, recall at each k, mean reciprocal rank of the first wanted item. Queries without one count as 0."""
     hit = ranked.join(wanted.select(query, item).distinct(), [query, item], "left_semi").groupBy(query).agg(F.min("rank").alias("first"))
-    every = wanted.select(query).distinct().join(hit, query, "left")
+    return quality(wanted.select(query).distinct().join(hit, query, "left"), ks)
+
+
+def quality(every: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """The measures of retrieval_quality, of one row per query with `first`, the rank of its first wanted item, or null."""
     return every.agg(
         F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_{k}") for k in ks],
         F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),

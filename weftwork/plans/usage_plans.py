@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.times import bucket, next_month, zone_day
 from weftwork.operators import usage as U
+from weftwork.session import broadcast_if_small
 from weftwork.tables import table
 
 # Which kinds of events stand for model calls and for actions.
@@ -47,7 +48,7 @@ def sm12_hourly_admission(spark, folder):
 
 
 def sm13_window_stack(spark, folder):
-    """Requests let in by hour, day and month at once; one turned away counts nowhere (SM13). Not expressible in SQL."""
+    """Requests let in by hour, day and month at once; one turned away counts nowhere (SM13)."""
     e = table(spark, folder, "events")
     return U.admitted_everywhere(e, "user_id", "ts", "event_id", [(2, 3600), (4, 86400), (60, 30 * 86400)]).groupBy("subject").agg(F.count(F.lit(1)).alias("asked"), F.sum(F.col("admitted").cast("long")).alias("let_in"))
 
@@ -84,8 +85,8 @@ def jn24_watched_channels(spark, folder):
     """Messages of the members' workspaces only, by kind of sender (JN24, JN33): semi-joins with small tables."""
     d, m = table(spark, folder, "decisions"), table(spark, folder, "members")
     known = m.select("workspace_id", F.col("user_id").alias("user")).distinct().withColumn("known", F.lit(True))
-    live = d.join(F.broadcast(m.select("workspace_id").distinct()), "workspace_id", "left_semi")
-    return live.join(F.broadcast(known), ["workspace_id", "user"], "left").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.coalesce("known", F.lit(False)).cast("long")).alias("by_members"))
+    live = d.join(broadcast_if_small(m.select("workspace_id").distinct()), "workspace_id", "left_semi")
+    return live.join(broadcast_if_small(known), ["workspace_id", "user"], "left").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.coalesce("known", F.lit(False)).cast("long")).alias("by_members"))
 
 
 def fn30_retry_after(spark, folder):
@@ -122,6 +123,11 @@ UNION ALL SELECT CAST(CAST(ts AS DATE) AS VARCHAR), count(*), 'Not/AZone' FROM e
     "fn28_month_windows": f"SELECT strftime(ts, '%Y%m') AS month, CAST(CAST(date_trunc('month', ts) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS ends, count(*) AS n FROM events WHERE {_A} GROUP BY 1, 2",
     "sm12_hourly_admission": """SELECT user_id, bucket, count(*) AS asked, CAST(sum(CASE WHEN rn <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS let_in FROM (
 SELECT user_id, epoch_us(ts) // 3600000000 AS bucket, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2""",
+    "sm13_window_stack": """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) // 3600000000 AS h, epoch_us(ts) // 86400000000 AS d, epoch_us(ts) // 2592000000000 AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, h, d, m, 1 AS nh, 1 AS nd, 1 AS nm, 1 AS ok FROM o WHERE k = 1
+  UNION ALL SELECT user_id, k, h, d, m, ch + ok, cd + ok, cm + ok, ok FROM (SELECT *, CASE WHEN ch < 2 AND cd < 4 AND cm < 60 THEN 1 ELSE 0 END AS ok FROM (
+    SELECT o.user_id, o.k, o.h, o.d, o.m, CASE WHEN o.h = r.h THEN nh ELSE 0 END AS ch, CASE WHEN o.d = r.d THEN nd ELSE 0 END AS cd, CASE WHEN o.m = r.m THEN nm ELSE 0 END AS cm FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)))
+SELECT CAST(user_id AS VARCHAR) AS subject, count(*) AS asked, CAST(sum(ok) AS BIGINT) AS let_in FROM r GROUP BY 1""",
     "ag25_type_shares": """WITH g AS (SELECT event_type, count(*) AS h, round(median(value), 6) AS median_value FROM events GROUP BY 1), t AS (SELECT *, CAST(sum(h) OVER () AS DOUBLE) AS n FROM g),
 x AS (SELECT *, (h / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS c, 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS s FROM t)
 SELECT event_type, h AS hits, median_value, round(greatest(0.0, c - s), 3) AS low, round(least(1.0, c + s), 3) AS high FROM x""",
