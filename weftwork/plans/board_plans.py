@@ -122,11 +122,16 @@ def jn37_orphans(spark, folder):
     return I.missing_from(c.filter("item_id IS NOT NULL"), s, ["item_id"]).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("item_id").alias("items"))
 
 
-def jn22_mentions(spark, folder):
-    """Which tracker issues are named by key in comments (JN22, FN26)."""
-    c = table(spark, folder, "comments").select("row_id", F.explode(X.mentioned_keys(F.col("body"))).alias("key"))
+def _named(spark, folder, name, column, row_id):
+    t = table(spark, folder, name).select(F.col(row_id).alias("row_id"), F.explode(X.mentioned_keys(F.col(column))).alias("key"))
     s = table(spark, folder, "sample_jira_tickets").filter("key IS NOT NULL").select("key", F.col("id").alias("item_id")).distinct()
-    return c.join(s, "key").select("row_id", "key", "item_id")
+    return t.join(s, "key").select(F.lit(name).alias("tbl"), "row_id", "key", "item_id")
+
+
+def jn22_mentions(spark, folder):
+    """Which tracker issues are named by key in comments, messages and pages (JN22, FN26)."""
+    parts = [_named(spark, folder, *x) for x in (("comments", "body", "row_id"), ("decisions", "text", "row_id"), ("documents", "text", "doc_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def jn23_strongest_relation(spark, folder):
@@ -136,7 +141,7 @@ def jn23_strongest_relation(spark, folder):
     SURVEY JN23's quoted and similar tiers aren't built."""
     c, s = table(spark, folder, "comments").filter("item_id IS NOT NULL"), items(spark, folder)
     own = c.join(s.select("item_id"), "item_id").select("row_id", "item_id", F.lit(0).alias("p"))
-    named = jn22_mentions(spark, folder).select("row_id", "item_id", F.lit(1).alias("p"))
+    named = _named(spark, folder, "comments", "body", "row_id").select("row_id", "item_id", F.lit(1).alias("p"))
     people = s.select("workspace_id", "item_id", F.explode(F.array_distinct(F.array("assignee.id", "reporter.id"))).alias("person")).filter("person IS NOT NULL")
     every = table(spark, folder, "comments").select("row_id", "workspace_id", F.col("author.id").alias("person"))
     same = every.join(people, ["workspace_id", "person"]).select("row_id", "item_id", F.lit(2).alias("p"))
@@ -264,6 +269,8 @@ _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\
 #: White space as Unicode knows it, and case folding as far as the tables need it.
 _WIDE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]+"
 FOLD = r"replace(replace(replace(lower(trim(regexp_replace(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~#>|]', ' ', 'g'), '" + _WIDE.replace("{", "{{").replace("}", "}}") + r"', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ'), chr(8182), chr(969) || chr(834))"
+#: Keys at words' ends in any script: marks between words are doubled, so that each can end one key and begin the next.
+KEYS = r"regexp_extract_all(regexp_replace({x}, '([^\p{{L}}\p{{M}}\p{{N}}_-])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Z][A-Z0-9]{{1,9}}-[0-9]+)(?:[^\p{{L}}\p{{M}}\p{{N}}_]|$)', 1)"
 _SN = _PLAIN.format(x="coalesce(description_md, '')")
 _MEN = r"m AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(body, '\b([A-Z][A-Z0-9]{1,9}-[0-9]+)\b', 1))) AS key FROM comments), jm AS (SELECT DISTINCT m.row_id, m.key, t.id AS item_id FROM m JOIN (SELECT DISTINCT key, id FROM sample_jira_tickets) t ON t.key = m.key)"
 SQL = {
@@ -284,7 +291,7 @@ SELECT * FROM (SELECT item_id, tier, CAST(row_number() OVER (PARTITION BY tier O
     "wn9_overflow": f"WITH {_I} SELECT workspace_id, target_key, CAST(sum(CAST(rn <= 12 AS INT)) AS BIGINT) AS shown, CAST(sum(CAST(rn > 12 AS INT)) AS BIGINT) AS hidden, min(item_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, target_key ORDER BY story_points DESC NULLS LAST, item_id) AS rn FROM s) GROUP BY 1, 2",
     "jn30_comment_overlay": f"WITH {_CM}, a AS (SELECT * FROM c WHERE external_id IS NOT NULL), o AS (SELECT workspace_id, external_id, comment_id AS local_id, author.name AS local_name FROM a WHERE author IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workspace_id, external_id ORDER BY created_at, comment_id) = 1) SELECT a.comment_id, coalesce(o.local_id, 'tracker:' || a.external_id) AS shown_id, coalesce(o.local_name, '') AS name FROM a LEFT JOIN o USING (workspace_id, external_id)",
     "jn37_orphans": "SELECT workspace_id, count(*) AS rows, count(DISTINCT item_id) AS items FROM comments WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM service WHERE item_id IS NOT NULL) GROUP BY 1",
-    "jn22_mentions": f"WITH {_I}, {_MEN} SELECT * FROM jm",
+    "jn22_mentions": "WITH m AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, {i} AS row_id, unnest(list_distinct({KEYS.format(x=x)})) AS key FROM {t}" for t, x, i in (("comments", "body", "row_id"), ("decisions", "text", "row_id"), ("documents", "text", "doc_id"))) + ") SELECT DISTINCT tbl, row_id, m.key, t.id AS item_id FROM m JOIN (SELECT DISTINCT key, id FROM sample_jira_tickets) t ON t.key = m.key",
     "jn23_strongest_relation": f"""WITH {_I}, {_MEN}, pp AS (SELECT DISTINCT workspace_id, item_id, person FROM (SELECT workspace_id, item_id, unnest([assignee.id, reporter.id]) AS person FROM s) WHERE person IS NOT NULL),
 r AS (SELECT c.row_id, c.item_id, 0 AS p FROM comments c JOIN s ON s.item_id = c.item_id UNION ALL SELECT row_id, item_id, 1 FROM jm UNION ALL SELECT c.row_id, pp.item_id, 2 FROM comments c JOIN pp ON pp.workspace_id = c.workspace_id AND pp.person = c.author.id)
 SELECT p, count(*) AS n FROM (SELECT row_id, item_id, min(p) AS p FROM r GROUP BY 1, 2) GROUP BY p""",
