@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import text as X
 from weftwork.functions.ids import containers, is_within
+from weftwork.functions.web import safe_path
 from weftwork.operators import codegraph as G
 from weftwork.operators import incremental as I
 from weftwork.operators import search as S
@@ -187,13 +188,26 @@ def gr13_within(spark, folder):
 
 
 def fn40_test_paths(spark, folder):
-    """Files for tests, by repository (FN40, PF17)."""
+    """Files for tests, files that are built, and paths that leave their folder when one is put before them, by repository
+    (FN40, PF17)."""
     f = files(spark, folder)
-    return f.groupBy("repo").agg(F.sum(X.is_test_path(F.col("path")).cast("long")).alias("tests"), F.count(F.lit(1)).alias("n"))
+    one = lambda c, n: F.sum(c.cast("long")).alias(n)
+    up = F.when(F.length("path") % 7 == 0, F.concat(F.lit("../"), "path")).when(F.length("path") % 7 == 1, F.concat(F.lit("/"), "path")).otherwise(F.col("path"))
+    return f.groupBy("repo").agg(one(X.is_test_path(F.col("path")), "tests"), one(X.is_generated(F.col("path")), "built"), one(safe_path(up), "safe"), F.count(F.lit(1)).alias("n"))
+
+
+def fn5_search_terms(spark, folder):
+    """What is worth searching for in the title of every page (FN5)."""
+    return table(spark, folder, "documents").select("doc_id", F.array_join(X.search_terms(F.col("title")), " ").alias("terms"))
+
+
+def fn3_escaped(spark, folder):
+    """Titles with the marks of a search language made literal (FN3)."""
+    return table(spark, folder, "documents").filter("title IS NOT NULL").select("doc_id", X.query_escaped(F.col("title")).alias("escaped"))
 
 
 QUERIES = {f.__name__: f for f in (
-    rt2_keyword_score, rt1_bm25, rt5_nearest, rt5_index_recall, rt6_above_threshold, rt10_reciprocal_rank, rt11_weighted, rt9_routed, ag24_recall_mrr, rt7_routes, rt12_refresh_plan, rt14_same_words, sc10_line_hits, fn10_redacted, fn8_fingerprints, fn12_route_paths, fn1_identifier_words, fn4_stems, fn44_clipped, gr13_within, fn40_test_paths,
+    rt2_keyword_score, rt1_bm25, rt5_nearest, rt5_index_recall, rt6_above_threshold, rt10_reciprocal_rank, rt11_weighted, rt9_routed, ag24_recall_mrr, rt7_routes, rt12_refresh_plan, rt14_same_words, sc10_line_hits, fn10_redacted, fn8_fingerprints, fn12_route_paths, fn1_identifier_words, fn4_stems, fn44_clipped, gr13_within, fn40_test_paths, fn5_search_terms, fn3_escaped,
 )}
 
 _COS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, label AS ql, e AS qe FROM v WHERE vec_id % 20 = 0), n AS (SELECT query_id, vec_id, ql, label, list_cosine_similarity(qe, e) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, e), 12) DESC, vec_id) AS rank FROM q, v)"
@@ -256,7 +270,15 @@ SELECT declared, CASE WHEN q = '' THEN '/' WHEN starts_with(q, '/') THEN q ELSE
     "fn4_stems": """WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{L}\\p{M}\\p{N}_]+')) AS word FROM documents) WHERE length(word) > 2),
 x AS (SELECT word, CASE WHEN word LIKE '%ing' AND length(word) >= 7 THEN left(word, length(word) - 3) WHEN word LIKE '%ed' AND NOT (word LIKE '%ing') AND length(word) >= 6 THEN left(word, length(word) - 2) END AS b FROM w)
 SELECT word, CASE WHEN b IS NOT NULL THEN CASE WHEN length(b) > 3 AND b[-1] = b[-2] THEN left(b, length(b) - 1) ELSE b END WHEN length(word) > 4 AND word LIKE '%s' AND NOT word LIKE '%ss' THEN left(word, length(word) - 1) ELSE word END AS stem FROM x""",
-    "fn44_clipped": r"SELECT doc_id, left(translate(trim(regexp_replace(title, '\s+', ' ', 'g')), '<>[]', '‹›⟦⟧'), 40) AS clean, CASE WHEN length(title) > 20 THEN left(title, 19) || '…' ELSE title END AS short FROM documents WHERE title IS NOT NULL",
+    "fn44_clipped": r"SELECT doc_id, left(translate(trim(regexp_replace(title, '\s+', ' ', 'g')), '<>[]', '‹›()'), 40) AS clean, CASE WHEN length(title) > 20 THEN left(title, 19) || '…' ELSE title END AS short FROM documents WHERE title IS NOT NULL",
     "gr13_within": f"WITH {_sql_files()} SELECT repo, count(*) AS n, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS folders FROM cf WHERE starts_with(path, 'app/') GROUP BY 1",
-    "fn40_test_paths": f"WITH {_sql_files()} SELECT repo, CAST(sum(CAST(regexp_matches(path, '(^|/)(tests?|__tests__|spec|e2e)/') OR regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test|conftest)[.]py$') OR regexp_matches(path, '[.](test|spec)[.][jt]sx?$') AS INT)) AS BIGINT) AS tests, count(*) AS n FROM cf GROUP BY 1",
+    "fn40_test_paths": f"""WITH {_sql_files()}, u AS (SELECT repo, path, CASE length(path) % 7 WHEN 0 THEN '../' || path WHEN 1 THEN '/' || path ELSE path END AS up FROM cf)
+SELECT repo, CAST(sum(CAST(regexp_matches(path, '(^|/)({"|".join(X.TEST_FOLDERS)})/') OR regexp_matches(path, '{X.TEST_FILE}') AS INT)) AS BIGINT) AS tests, CAST(sum(CAST({" OR ".join(f"ends_with(path, '{x}')" for x in X.GENERATED_SUFFIXES)} AS INT)) AS BIGINT) AS built,
+  CAST(sum(CAST(NOT starts_with(up, '/') AND NOT list_contains(string_split(up, '/'), '..') AS INT)) AS BIGINT) AS safe, count(*) AS n FROM u GROUP BY 1""",
+    "fn3_escaped": r"""SELECT doc_id, regexp_replace(title, '([+\-&|!(){}\[\]^"~*?:\\/])', '\\\1', 'g') AS escaped FROM documents WHERE title IS NOT NULL""",
+    "fn5_search_terms": f"""WITH w AS (SELECT doc_id, k, trim(t, '_') AS w FROM (SELECT doc_id, unnest(x) AS t, unnest(range(0, len(x))) AS k FROM (SELECT doc_id, regexp_extract_all(coalesce(title, ''), '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS x FROM documents))),
+v AS (SELECT *, CASE WHEN lower(w) LIKE '%ing' THEN length(w) - 3 WHEN lower(w) LIKE '%ed' THEN length(w) - 2 END AS n FROM w WHERE length(w) >= 3 AND lower(w) NOT IN ({", ".join(f"'{x}'" for x in X.STOPWORDS)})),
+s AS (SELECT *, CASE WHEN n > 3 THEN CASE WHEN left(w, n)[-1] = left(w, n)[-2] THEN left(w, n - 1) ELSE left(w, n) END WHEN length(w) > 4 AND lower(w) LIKE '%s' AND NOT lower(w) LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS st FROM v),
+f AS (SELECT doc_id, k * 2 + 1 AS k, st AS f FROM s UNION ALL SELECT doc_id, k * 2, w FROM s WHERE contains(w, '_') OR regexp_matches(substr(w, 2), '[A-Z]')), g AS (SELECT doc_id, f, min(k) AS k FROM f GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rn FROM g) SELECT d.doc_id, coalesce(string_agg(f, ' ' ORDER BY k), '') AS terms FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND rn <= 8 GROUP BY 1""",
 }
