@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.operators import codegraph as G
+from weftwork.operators import extraction as E
 from weftwork.operators import linking as L
 from weftwork.session import materialised
 from weftwork.tables import table
@@ -62,6 +63,35 @@ def linked(spark, folder):
     return G.link(f, scopes, roots, packages)
 
 
+def written_sources(spark, folder):
+    """Source text for every file of the last snapshots that says what its facts say: repo, path, text. Names that the
+    language couldn't write are left out, as in the SQL."""
+    f = files(spark, folder)
+    py, word = F.col("path").endswith(".py"), r"^[A-Za-z_][A-Za-z0-9_]*$"
+    ok = lambda x: x.rlike(word)
+    i = F.filter("imports", lambda x: x["specifier"].rlike(r"^[A-Za-z_][A-Za-z0-9_.]*$"))
+    names = lambda x: F.array_join(F.filter(F.coalesce(x["names"], F.array().cast("array<string>")), ok), ", ")
+    py_import = lambda x: F.when(names(x) == "", F.concat(F.lit("import "), x["specifier"])).otherwise(F.concat(F.lit("from "), x["specifier"], F.lit(" import "), names(x)))
+    js_import = lambda x: F.when(names(x) == "", F.concat(F.lit('import "'), x["specifier"], F.lit('";'))).otherwise(F.concat(F.lit("import { "), names(x), F.lit(' } from "'), x["specifier"], F.lit('";')))
+    d = F.filter("definitions", lambda x: ok(x["name"]) & x["parent"].isNull())
+    py_def = lambda x: F.when(x["kind"] == "class", F.concat(F.lit("class "), x["name"], F.lit(":\n    pass"))).otherwise(F.concat(F.lit("def "), x["name"], F.lit("(a, b):\n    pass")))
+    js_def = lambda x: F.when(x["kind"] == "class", F.concat(F.lit("export class "), x["name"], F.lit(" { }"))).otherwise(F.concat(F.lit("function "), x["name"], F.lit("(a, b) { /* f(1) */ }")))
+    c = F.filter("calls", lambda x: x["callee"].rlike(r"^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*$"))
+    call = lambda x: F.concat(x["callee"], F.lit("("), F.array_join(F.array_repeat(F.lit("1"), F.coalesce(x["argument_count"], F.lit(0))), ", "), F.lit(")"), F.when(py, "").otherwise(";"))
+    lines = F.concat(F.when(py, F.transform(i, py_import)).otherwise(F.transform(i, js_import)), F.when(py, F.transform(d, py_def)).otherwise(F.transform(d, js_def)), F.transform(c, call))
+    return f.select("repo", "path", F.array_join(lines, "\n").alias("text"))
+
+
+def ux3_extracted_facts(spark, folder):
+    """Facts read from source text written from facts: the same imports, definitions and calls come back (UX1, UX3, UX4)."""
+    x = E.extracted(written_sources(spark, folder), ["repo", "path"])
+    part = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return x.select(
+        "repo", "path", part("imports", lambda v: F.concat(v["specifier"], F.lit(":"), F.array_join(v["names"], "+"))).alias("imports"), part("definitions", lambda v: F.concat(F.when(v["kind"] == "class", "c:").otherwise("f:"), v["name"])).alias("definitions"),
+        part("calls", lambda v: F.concat(v["callee"], F.lit("/"), v["argument_count"].cast("string"))).alias("calls"), "has_syntax_errors",
+    )
+
+
 def gr16_graph_nodes(spark, folder):
     """Every node of the graph (SC7, GR15, GR16, GR17, WN3, FN17)."""
     return G.nodes(links(spark, folder)).select("id", "label", "repo", "name", F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"))
@@ -204,7 +234,7 @@ def ag8_weight_conserved(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    gr16_graph_nodes, ag6_graph_counts, gr16_graph_edges, ag9_module_totals, wn3_symbol_ids, jn18_resolved_imports, jn18_linked_imports, jn20_bound_references, ag12_merged_imports, ag14_package_names, ag11_module_weights, wn16_name_table,
+    gr16_graph_nodes, ag6_graph_counts, gr16_graph_edges, ag9_module_totals, wn3_symbol_ids, jn18_resolved_imports, jn18_linked_imports, jn20_bound_references, ag12_merged_imports, ux3_extracted_facts, ag14_package_names, ag11_module_weights, wn16_name_table,
     ag13_references, ag15_file_rank, ag16_resolution_stats, jn14_route_match, gr4_top_children, wn2_followed, gr1_neighbours, gr2_subtree, ag8_view_edges, ag8_weight_conserved,
 )}
 
@@ -351,7 +381,11 @@ ru AS (SELECT a.at_id AS source, b.at_id AS target, type, CAST(sum(w) AS BIGINT)
   FROM eo JOIN pl a ON a.id = eo.source JOIN pl b ON b.id = eo.target WHERE a.at_id <> b.at_id GROUP BY 1, 2, 3)"""
 
 
+_N = "list_filter(coalesce(x.names, []), lambda n: regexp_full_match(n, '[A-Za-z_][A-Za-z0-9_]*'))"
 SQL = {
+    "ux3_extracted_facts": f"""{_W} SELECT repo, path, array_to_string(list_transform(list_filter(imports, lambda x: regexp_full_match(x.specifier, '[A-Za-z_][A-Za-z0-9_.]*')), lambda x: x.specifier || ':' || array_to_string({_N}, '+')), ',') AS imports,
+  array_to_string(list_transform(list_filter(definitions, lambda x: regexp_full_match(x.name, '[A-Za-z_][A-Za-z0-9_]*') AND x.parent IS NULL), lambda x: CASE WHEN x.kind = 'class' THEN 'c:' ELSE 'f:' END || x.name), ',') AS definitions,
+  array_to_string(list_transform(list_filter(calls, lambda x: regexp_full_match(x.callee, '[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*')), lambda x: x.callee || '/' || coalesce(x.argument_count, 0)), ',') AS calls, false AS has_syntax_errors FROM cf""",
     "gr16_graph_nodes": f"{_W} SELECT id, label, repo, name, CAST(depth AS INTEGER) AS depth FROM nd",
     "ag6_graph_counts": f"{_W} SELECT repo, label, count(*) AS n FROM nd GROUP BY repo, label",
     "gr16_graph_edges": f"{_K} SELECT source, target, type, repo, CAST(max(n) AS BIGINT) AS n FROM eg GROUP BY source, target, type, repo",
