@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.times import bucket, zone_day
+from weftwork.operators.running import running_sums
 
 
 def usage_totals(calls: DataFrame, actions: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -66,6 +67,55 @@ def admitted_everywhere(requests: DataFrame, subject: str, at: str, tie: str, wi
     return rows.mapInArrow(run, "subject string, us long, tie long, admitted boolean")
 
 
+def coalesced_runs(requests: DataFrame, subject: str, at: str, tie: str, seconds: int, most: int) -> DataFrame:
+    """subject, us, tie, runs: how many runs each request has set off. A request to an idle subject starts a run of `seconds`;
+    one during a run asks for one more after it, once, and of runs in a row there are `most`.
+
+    Ordered like admitted_everywhere: a stream per partition that keeps the current subject's state only.
+    """
+    rows = requests.select(F.col(subject).cast("string").alias("subject"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(tie).cast("long").alias("tie")).filter("us IS NOT NULL")
+    rows = rows.repartition("subject").sortWithinPartitions("subject", "us", "tie")
+    long = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, busy, again, row = None, 0, False, 0
+        for b in batches:
+            out = []
+            for s, us in zip(b["subject"].to_pylist(), b["us"].to_pylist()):
+                if s != current:
+                    current, busy, again, row = s, -1, False, 0
+                if again and us >= busy:
+                    busy, again, row = busy + long, False, row + 1
+                if busy < 0 or us >= busy:
+                    busy, again, row = us + long, False, 1
+                    out.append(1)
+                elif not again and row < most:
+                    again = True
+                    out.append(1)
+                else:
+                    out.append(0)
+            yield pa.RecordBatch.from_arrays([b["subject"], b["us"], b["tie"], pa.array(out, pa.int64())], names=["subject", "us", "tie", "runs"])
+
+    return rows.mapInArrow(run, "subject string, us long, tie long, runs long")
+
+
+def exact_medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """keys and the exact median of the values that aren't null, of groups of any size: values are counted first, and the
+    counts summed up over split ranges, so no group is held in one place."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    up = running_sums(counted, keys, [F.col(value).asc()], {"__to": F.col("__n")})
+    whole = counted.groupBy(*keys).agg(F.sum("__n").alias("__all")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = None
+    for k in keys:
+        e = up[k].eqNullSafe(whole[f"__{k}"])
+        on = e if on is None else on & e
+    j = up.join(whole, on)
+    # the places of the middle values, from 1: one of them twice if there's a single one
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    at = lambda place: F.max(F.when((F.col("__to") - F.col("__n") < place) & (place <= F.col("__to")), F.col(value)))
+    return j.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+
+
 def wilson(hits: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The 95 % interval of a share; 0 and 0 without cases."""
     p = hits / total

@@ -16,16 +16,64 @@ def items(spark, folder):
     return I.newest(table(spark, folder, "service"), ["item_id"], [F.col("updated_at").desc_nulls_last(), F.desc("row_id")])
 
 
+def board_filter(items, *, source=None, target=None, status=None, categories=None, done_since=None, hide_epics=False, open_only=False, unassigned=False, assignee=None, priority=None, label=None, text=None, sprint=None):
+    """The items that pass every option given. An empty list of allowed values, or a sprint that isn't there (an empty
+    string), can be met by nothing: the result is empty without a look at the items. A missing field passes what asks for
+    a difference, and never what asks for a value."""
+    if categories == [] or sprint == "":
+        return items.limit(0)
+    c = F.lit(True)
+    for name, value in (("source", source), ("target_key", target), ("status", status), ("priority", priority)):
+        if value is not None:
+            c = c & (F.col(name) == value)
+    if categories is not None:
+        c = c & F.col("status_category").isin(categories)
+    if done_since is not None:
+        c = c & ((F.coalesce("status_category", F.lit("")) != "done") | (F.col("updated_at") >= F.lit(done_since).cast("timestamp_ntz")))
+    if hide_epics:
+        c = c & (F.coalesce("issue_type", F.lit("")) != "Epic")
+    if open_only:
+        c = c & (F.coalesce("status_category", F.lit("")) != "done")
+    c = c & ~F.coalesce("tracker_hidden", F.lit(False))
+    if unassigned:
+        c = c & (F.col("assignee").isNull() | F.col("assignee.id").isNull())
+    if assignee is not None:
+        c = c & (F.col("assignee.id") == assignee)
+    if label is not None:
+        c = c & F.array_contains("labels", label)
+    if text is not None:
+        has = lambda f: F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(text.lower()))
+        c = c & (has("title") | has("description_md") | has("key"))
+    return items.filter(c)
+
+
 def pf1_board_page(spark, folder):
-    """The second page of 50 open, visible items without an assignee whose title or text names a folder (PF1, PF3-5, PF16, SL1).
+    """The second page of 50 open, visible items whose key, title or text names a folder (PF1, PF5, PF16, SC1, SL1).
 
     The page is the feature; the order is total, so pages don't overlap."""
-    s = items(spark, folder)
-    named = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("folder")) | F.contains(F.lower(F.coalesce("description_md", F.lit(""))), F.lit("folder"))
-    hit = s.filter((F.coalesce("status_category", F.lit("")) != "done") & ~F.coalesce("tracker_hidden", F.lit(False)) & (F.coalesce("issue_type", F.lit("")) != "Epic") & named)
+    hit = board_filter(items(spark, folder), open_only=True, hide_epics=True, text="folder")
     return hit.orderBy(F.col("rank").asc_nulls_first(), "item_id").offset(50).limit(50).select("item_id", "key", "rank", "status")
 
 
+def pf1_board_filters(spark, folder):
+    """How many items pass each of several filters of a board, an impossible one too (PF1)."""
+    s = items(spark, folder)
+    out = None
+    for name, options in (("jira bugs", {"source": "jira", "priority": "high", "categories": ["todo", "in_progress"]}), ("recent", {"done_since": "2026-03-01", "hide_epics": True}), ("nobody", {"unassigned": True, "label": "queue"}), ("nothing", {"sprint": ""}), ("none allowed", {"categories": []})):
+        one = board_filter(s, **options).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("filter"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def jn11_closed(spark, folder):
+    """Items open before that the last delivery no longer has (JN11): per project, closed upstream."""
+    t = I.newest(table(spark, folder, "sample_jira_tickets").filter("snapshot_no IS NOT NULL AND id IS NOT NULL"), ["id", "snapshot_no"], [F.col("synced_at").desc_nulls_last(), F.desc("row_id")])
+    last = t.agg(F.max("snapshot_no").alias("last"))
+    t = t.withColumn("last", F.lit(last.first()[0]))
+    open_ = t.filter("snapshot_no = last - 1 AND coalesce(fields.status.statusCategory.key, '') <> 'done'")
+    return I.missing_from(open_, t.filter("snapshot_no = last"), ["id"]).groupBy(F.substring_index("key", "-", 1).alias("project")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def pf4_null_lane(spark, folder):
     """Items without an assignee in either shape of null, per source (PF4)."""
     return items(spark, folder).filter(F.col("assignee").isNull() | F.col("assignee.id").isNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -102,10 +150,13 @@ def wn7_renumbered(spark, folder):
 
 
 def wn9_overflow(spark, folder):
-    """The first 12 items of each target by points, the rest as a number (WN9)."""
-    s = items(spark, folder)
+    """The first 12 items of each target by points, the rest as a number (WN9): counts tell how many are behind, so that only
+    the page itself is ranked."""
+    s = items(spark, folder).select("workspace_id", "target_key", "item_id", "story_points")
     w = Window.partitionBy("workspace_id", "target_key").orderBy(F.col("story_points").desc_nulls_last(), "item_id")
-    return s.withColumn("rn", F.row_number().over(w)).groupBy("workspace_id", "target_key").agg(F.sum((F.col("rn") <= 12).cast("long")).alias("shown"), F.sum((F.col("rn") > 12).cast("long")).alias("hidden"), F.min("item_id").alias("first_id"))
+    page = s.withColumn("rn", F.row_number().over(w)).filter("rn <= 12").groupBy("workspace_id", "target_key").agg(F.count(F.lit(1)).alias("shown"), F.sum(F.coalesce("story_points", F.lit(0.0))).alias("points"))
+    n = s.groupBy("workspace_id", "target_key").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_id")).withColumnsRenamed({"workspace_id": "w", "target_key": "t"})
+    return page.join(n, page["workspace_id"].eqNullSafe(n["w"]) & page["target_key"].eqNullSafe(n["t"])).select("workspace_id", "target_key", "shown", (F.col("n") - F.col("shown")).alias("hidden"), "first_id", F.round("points", 6).alias("points"))
 
 
 def jn30_comment_overlay(spark, folder):
@@ -233,10 +284,14 @@ def jn12_sync_plan(spark, folder):
 
 
 def sk8_shed_rows(spark, folder):
-    """Rows that are too large to store lose their calls and are marked (SK8)."""
+    """Rows that are too large to store lose their calls and renders and are marked (SK8): of a size told by the characters of
+    their lists, here 4,000."""
     f = table(spark, folder, "facts_py")
-    big = F.size("calls") + F.size("definitions") > 60
-    return f.select("row_id", F.when(big, 0).otherwise(F.size("calls")).alias("calls"), (big | F.col("truncated")).alias("truncated")).groupBy("truncated").agg(F.count(F.lit(1)).alias("n"), F.sum("calls").cast("long").alias("calls"))
+    text = lambda x: F.length(F.coalesce(x, F.lit("")))
+    total = lambda c, g: F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + g(x)), F.lit(0))
+    size = total("calls", lambda x: text(x["callee"]) + text(x["enclosing"]) + 16) + total("renders", lambda x: text(x["component"]) + text(x["enclosing"]) + 16) + total("definitions", lambda x: text(x["qualified_name"]) + text(x["signature"]) + text(x["docstring"]) + 32)
+    big = size > 4000
+    return f.select(F.when(big, 0).otherwise(F.size("calls")).alias("calls"), F.when(big, 0).otherwise(F.size("renders")).alias("renders"), (big | F.col("truncated")).alias("truncated")).groupBy("truncated").agg(F.count(F.lit(1)).alias("n"), F.sum("calls").cast("long").alias("calls"), F.sum("renders").cast("long").alias("renders"))
 
 
 def fn22_flat_issues(spark, folder):
@@ -259,7 +314,7 @@ def sl12_budget_cut(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    pf1_board_page, pf4_null_lane, ag1_lanes, ag20_tab_counts, pf2_visible_items, pf6_all_words, pf13_label_filter, sl3_tiered_search, sl2_keyset_page, wn6_neighbours, wn7_renumbered, wn9_overflow, jn30_comment_overlay, jn37_orphans,
+    pf1_board_page, pf1_board_filters, jn11_closed, pf4_null_lane, ag1_lanes, ag20_tab_counts, pf2_visible_items, pf6_all_words, pf13_label_filter, sl3_tiered_search, sl2_keyset_page, wn6_neighbours, wn7_renumbered, wn9_overflow, jn30_comment_overlay, jn37_orphans,
     jn22_mentions, jn23_strongest_relation, jn26_item_board, jn6_evidence_state, sk5_upserted, sk6_inserted_absent, sk10_versioned, sk12_merged_members, sk13_numbered, sk11_label_changes, st1_found_everywhere, jn12_sync_plan, sk8_shed_rows, fn22_flat_issues, ag3_group_sizes, sl12_budget_cut,
 )}
 
@@ -274,7 +329,9 @@ KEYS = r"regexp_extract_all(regexp_replace({x}, '([^\p{{L}}\p{{M}}\p{{N}}_-])',
 _SN = _PLAIN.format(x="coalesce(description_md, '')")
 _MEN = r"m AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(body, '\b([A-Z][A-Z0-9]{1,9}-[0-9]+)\b', 1))) AS key FROM comments), jm AS (SELECT DISTINCT m.row_id, m.key, t.id AS item_id FROM m JOIN (SELECT DISTINCT key, id FROM sample_jira_tickets) t ON t.key = m.key)"
 SQL = {
-    "pf1_board_page": f"WITH {_I} SELECT item_id, key, rank, status FROM s WHERE coalesce(status_category, '') <> 'done' AND NOT coalesce(tracker_hidden, false) AND coalesce(issue_type, '') <> 'Epic' AND (contains(lower(coalesce(title, '')), 'folder') OR contains(lower(coalesce(description_md, '')), 'folder')) ORDER BY rank NULLS FIRST, item_id LIMIT 50 OFFSET 50",
+    "pf1_board_page": f"WITH {_I} SELECT item_id, key, rank, status FROM s WHERE coalesce(status_category, '') <> 'done' AND NOT coalesce(tracker_hidden, false) AND coalesce(issue_type, '') <> 'Epic' AND (contains(lower(coalesce(title, '')), 'folder') OR contains(lower(coalesce(description_md, '')), 'folder') OR contains(lower(coalesce(key, '')), 'folder')) ORDER BY rank NULLS FIRST, item_id LIMIT 50 OFFSET 50",
+    "pf1_board_filters": f"WITH {_I}, v AS (SELECT * FROM s WHERE NOT coalesce(tracker_hidden, false)) SELECT 'jira bugs' AS filter, count(*) AS n FROM v WHERE source = 'jira' AND priority = 'high' AND status_category IN ('todo', 'in_progress') UNION ALL SELECT 'recent', count(*) FROM v WHERE (coalesce(status_category, '') <> 'done' OR updated_at >= TIMESTAMP '2026-03-01') AND coalesce(issue_type, '') <> 'Epic' UNION ALL SELECT 'nobody', count(*) FROM v WHERE assignee.id IS NULL AND list_contains(labels, 'queue') UNION ALL SELECT 'nothing', 0 UNION ALL SELECT 'none allowed', 0",
+    "jn11_closed": "WITH t AS (SELECT id, key, snapshot_no, fields.status.statusCategory.key AS k FROM sample_jira_tickets WHERE snapshot_no IS NOT NULL AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, snapshot_no ORDER BY synced_at DESC NULLS LAST, row_id DESC) = 1), l AS (SELECT max(snapshot_no) AS m FROM t) SELECT split_part(key, '-', 1) AS project, count(*) AS n FROM t, l WHERE snapshot_no = m - 1 AND coalesce(k, '') <> 'done' AND id NOT IN (SELECT id FROM t, l WHERE snapshot_no = m) GROUP BY 1",
     "pf4_null_lane": f"WITH {_I} SELECT source, count(*) AS n FROM s WHERE assignee IS NULL OR assignee.id IS NULL GROUP BY source",
     "ag1_lanes": f"WITH {_I} SELECT coalesce(assignee.id, 'none') AS lane, count(*) AS n, coalesce(min(assignee.name), '') AS label FROM s GROUP BY 1",
     "ag20_tab_counts": f"WITH {_I}, x AS (SELECT workspace_id, coalesce(status_category, '') = 'done' AS d, coalesce(due_date <= '2026-01-01', false) AS u, story_points IS NULL AS p FROM s) SELECT workspace_id, CAST(sum(CAST(d AS INT)) AS BIGINT) AS done, CAST(sum(CAST(NOT d AND u AS INT)) AS BIGINT) AS needs_you, CAST(sum(CAST(NOT (d OR u) AS INT)) AS BIGINT) AS open, CAST(sum(CAST(p AS INT)) AS BIGINT) AS unsized FROM x GROUP BY 1",
@@ -288,7 +345,7 @@ SELECT * FROM (SELECT item_id, tier, CAST(row_number() OVER (PARTITION BY tier O
     "sl2_keyset_page": f"WITH {_CM} SELECT item_id, CAST(sum(CAST(rn <= 20 AS INT)) AS BIGINT) AS shown, bool_or(rn = 21) AS more, max(comment_id) AS last_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, comment_id DESC) AS rn FROM c) WHERE rn <= 21 GROUP BY 1",
     "wn6_neighbours": f"WITH {_I} SELECT item_id, round(coalesce(lag(rank) OVER w, -1.0), 6) AS before, round(coalesce((rank + lead(rank) OVER w) / 2, rank + 1), 6) AS between, coalesce(lead(rank) OVER w - rank < 1e-6, false) AS renumber FROM s WHERE rank IS NOT NULL WINDOW w AS (PARTITION BY workspace_id, status ORDER BY rank, item_id)",
     "wn7_renumbered": f"WITH {_I} SELECT item_id, CAST(row_number() OVER (PARTITION BY workspace_id, status ORDER BY rank NULLS FIRST, item_id) AS DOUBLE) AS rank FROM s",
-    "wn9_overflow": f"WITH {_I} SELECT workspace_id, target_key, CAST(sum(CAST(rn <= 12 AS INT)) AS BIGINT) AS shown, CAST(sum(CAST(rn > 12 AS INT)) AS BIGINT) AS hidden, min(item_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, target_key ORDER BY story_points DESC NULLS LAST, item_id) AS rn FROM s) GROUP BY 1, 2",
+    "wn9_overflow": f"WITH {_I} SELECT workspace_id, target_key, CAST(sum(CAST(rn <= 12 AS INT)) AS BIGINT) AS shown, CAST(sum(CAST(rn > 12 AS INT)) AS BIGINT) AS hidden, min(item_id) AS first_id, round(sum(CASE WHEN rn <= 12 THEN coalesce(story_points, 0) ELSE 0 END), 6) AS points FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, target_key ORDER BY story_points DESC NULLS LAST, item_id) AS rn FROM s) GROUP BY 1, 2",
     "jn30_comment_overlay": f"WITH {_CM}, a AS (SELECT * FROM c WHERE external_id IS NOT NULL), o AS (SELECT workspace_id, external_id, comment_id AS local_id, author.name AS local_name FROM a WHERE author IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workspace_id, external_id ORDER BY created_at, comment_id) = 1) SELECT a.comment_id, coalesce(o.local_id, 'tracker:' || a.external_id) AS shown_id, coalesce(o.local_name, '') AS name FROM a LEFT JOIN o USING (workspace_id, external_id)",
     "jn37_orphans": "SELECT workspace_id, count(*) AS rows, count(DISTINCT item_id) AS items FROM comments WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM service WHERE item_id IS NOT NULL) GROUP BY 1",
     "jn22_mentions": "WITH m AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, {i} AS row_id, unnest(list_distinct({KEYS.format(x=x)})) AS key FROM {t}" for t, x, i in (("comments", "body", "row_id"), ("decisions", "text", "row_id"), ("documents", "text", "doc_id"))) + ") SELECT DISTINCT tbl, row_id, m.key, t.id AS item_id FROM m JOIN (SELECT DISTINCT key, id FROM sample_jira_tickets) t ON t.key = m.key",
@@ -311,7 +368,9 @@ UNION ALL SELECT 'page', count(*), count(DISTINCT doc_id) FROM documents WHERE c
 h AS (SELECT repo, snapshot_no, lead(snapshot_no) OVER (PARTITION BY repo ORDER BY snapshot_no) AS nx FROM (SELECT DISTINCT repo, snapshot_no FROM x)),
 o AS (SELECT x.repo, x.path, h.nx AS s, x.content_hash FROM x JOIN h USING (repo, snapshot_no) WHERE nx IS NOT NULL), f AS (SELECT x.repo, x.path, x.snapshot_no AS s, x.content_hash FROM x JOIN h ON h.repo = x.repo AND h.nx = x.snapshot_no)
 SELECT repo, s AS snapshot_no, action, count(*) AS n FROM (SELECT coalesce(f.repo, o.repo) AS repo, coalesce(f.s, o.s) AS s, CASE WHEN f.repo IS NULL THEN 'deleted' WHEN f.content_hash = o.content_hash THEN 'unchanged' ELSE 'extract' END AS action FROM f FULL JOIN o ON f.repo = o.repo AND f.path = o.path AND f.s = o.s) GROUP BY 1, 2, 3""",
-    "sk8_shed_rows": "SELECT (len(calls) + len(definitions) > 60) OR truncated AS truncated, count(*) AS n, CAST(sum(CASE WHEN len(calls) + len(definitions) > 60 THEN 0 ELSE len(calls) END) AS BIGINT) AS calls FROM facts_py GROUP BY 1",
+    "sk8_shed_rows": """WITH z AS (SELECT *, coalesce(list_sum(list_transform(calls, lambda x: length(coalesce(x.callee, '')) + length(coalesce(x.enclosing, '')) + 16)), 0) + coalesce(list_sum(list_transform(renders, lambda x: length(coalesce(x.component, '')) + length(coalesce(x.enclosing, '')) + 16)), 0)
+  + coalesce(list_sum(list_transform(definitions, lambda x: length(coalesce(x.qualified_name, '')) + length(coalesce(x.signature, '')) + length(coalesce(x.docstring, '')) + 32)), 0) > 4000 AS big FROM facts_py)
+SELECT big OR truncated AS truncated, count(*) AS n, CAST(sum(CASE WHEN big THEN 0 ELSE len(calls) END) AS BIGINT) AS calls, CAST(sum(CASE WHEN big THEN 0 ELSE len(renders) END) AS BIGINT) AS renders FROM z GROUP BY 1""",
     "fn22_flat_issues": """SELECT row_id, key, fields.status.name AS status, coalesce(fields.assignee.accountId, '') AS assignee, CAST(coalesce(len(fields.labels), 0) AS INTEGER) AS labels,
 coalesce(CAST(epoch(coalesce(try_strptime(regexp_replace(fields.created, 'Z$', '+0000'), '%Y-%m-%dT%H:%M:%S.%g%z'), try_strptime(regexp_replace(fields.created, 'Z$', '+0000'), '%Y-%m-%dT%H:%M:%S%z'))) AS BIGINT), 0) AS created_s FROM sample_jira_tickets""",
     "ag3_group_sizes": "SELECT space_key, count(*) AS n, max(version) AS version, CAST(max(updated_at) AS VARCHAR) AS newest FROM documents GROUP BY 1",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import tracker as K
 from weftwork.operators import incremental as I
 from weftwork.plans.board_plans import _CM, _I, KEYS, items
+from weftwork.session import shared_folder
+from weftwork.sources import paged
 from weftwork.tables import table
 
 
@@ -183,15 +187,26 @@ def sm15_digests(spark, folder):
     return c.select("user_id", F.coalesce(K.due_day(F.col("now"), zone, at, F.col("connected"), sent), F.lit("")).alias("day"))
 
 
+def sc11_paged_items(spark, folder):
+    """Items of a paged remote source changed since a moment, a task for each page (SC11, UX5): the deliveries' tickets, put
+    on pages in the shared folder."""
+    pages = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    table(spark, folder, "sample_jira_tickets").select(F.col("id"), F.col("fields.updated").alias("updated"), "snapshot_no").repartition(4).write.json(pages)
+    paged.register(spark)
+    got = spark.read.format("paged_items").option("pages", pages).option("since", "2025-11").load()
+    return got.groupBy(F.get_json_object("item", "$.snapshot_no").cast("int").alias("snapshot_no")).agg(n_rows(), F.countDistinct("id").alias("ids"))
+
+
 QUERIES = {f.__name__: f for f in (
     jn5_sources, jn8_memberships, jn31_new_quotes, jn25_waiting_questions, jn33_serving, jn35_nested_mentions, ag26_numbered_sources, ag27_attention, sk9_changed_fields, sk12_rekeyed, sk7_replaced, sm8_kept_copies, sm10_conversation_ids,
-    sm11_retries, sm14_pulled, sm15_digests,
+    sm11_retries, sm14_pulled, sm15_digests, sc11_paged_items,
 )}
 
 _Q = "left(sha256(regexp_extract(lower({x}), '^([^.?!\\n]+)', 1)), 16)"
 _F1 = "f AS (SELECT * FROM service QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY updated_at ASC NULLS FIRST, row_id) = 1)"
 _FIELDS = ["title", "description_md", "status", "status_category", "priority", "issue_type", "due_date", "story_points", "rank", "tracker_hidden", "updated_at"]
 SQL = {
+    "sc11_paged_items": "SELECT snapshot_no, count(*) AS n, count(DISTINCT id) AS ids FROM sample_jira_tickets WHERE coalesce(fields.updated, '') >= '2025-11' GROUP BY 1",
     "jn5_sources": """WITH r AS (SELECT 'work_item' AS kind, item_id AS ref FROM comments WHERE item_id IS NOT NULL UNION ALL SELECT 'chat_thread', workspace_id || '/' || channel || '/' || thread_ts FROM decisions WHERE thread_ts IS NOT NULL UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents),
 t AS (SELECT DISTINCT 'work_item' AS kind, item_id AS ref FROM service UNION SELECT 'chat_thread', workspace_id || '/' || channel || '/' || ts FROM decisions WHERE text IS NOT NULL AND ts IS NOT NULL UNION SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE text IS NOT NULL)
 SELECT r.kind, count(*) AS n, count(t.ref) AS found FROM r LEFT JOIN t ON t.kind = r.kind AND t.ref = r.ref GROUP BY 1""",

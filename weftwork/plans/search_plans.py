@@ -138,6 +138,36 @@ def rt14_same_words(spark, folder):
     return hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rt14_similar(spark, folder):
+    """Vectors like every twentieth one by meaning, or by their number's last two digits as words, each once, meaning first, five
+    at most (RT14, ST6): how many of either."""
+    v = table(spark, folder, "embeddings")
+    near = S.nearest(_queries(spark, folder), v, 6, least=0.1).filter("query_id <> vec_id").select("query_id", "vec_id", F.lit(0).alias("how"), F.col("rank").cast("long").alias("r"))
+    q = _queries(spark, folder).select("query_id", (F.col("query_id") % 100).alias("w"))
+    same = v.select("vec_id", (F.col("vec_id") % 100).alias("w"))
+    w = Window.partitionBy("w").orderBy("vec_id")
+    few = same.withColumn("r", F.row_number().over(w)).filter("r <= 6")
+    word = q.join(few, "w").filter("query_id <> vec_id").select("query_id", "vec_id", F.lit(1).alias("how"), F.col("r").cast("long").alias("r"))
+    first = near.unionByName(word).groupBy("query_id", "vec_id").agg(F.min(F.struct("how", "r")).alias("k"))
+    kept = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("k", "vec_id"))).filter("place <= 5")
+    return kept.groupBy("query_id").agg(F.sum((F.col("k.how") == 0).cast("long")).alias("meaning"), F.sum((F.col("k.how") == 1).cast("long")).alias("words"))
+
+
+def rt13_room(spark, folder):
+    """Which vectors are dropped because another model made them, and which of the texts without one get room, of 40 a space, the
+    newest first (RT13)."""
+    d = table(spark, folder, "documents").filter("text IS NOT NULL")
+    stored = d.filter("version > 5").select("doc_id", F.when(F.col("version") % 4 == 0, "old").otherwise("new").alias("model"))
+    keep = stored.filter("model = 'new'")
+    wanted = d.select("doc_id", "space_key", "updated_at").join(keep.select("doc_id"), "doc_id", "left_anti")
+    held = d.join(keep.select("doc_id"), "doc_id", "left_semi").groupBy("space_key").agg(F.count(F.lit(1)).alias("held"))
+    w = Window.partitionBy("space_key").orderBy(F.col("updated_at").desc_nulls_last(), "doc_id")
+    ranked = wanted.withColumn("p", F.row_number().over(w)).filter("p <= 40")
+    room = ranked.join(held.withColumnRenamed("space_key", "s"), ranked["space_key"].eqNullSafe(F.col("s")), "left").filter("p <= 40 - coalesce(held, 0)")
+    purged = stored.filter("model = 'old'").join(d.select("doc_id", "space_key"), "doc_id").groupBy("space_key").agg(F.count(F.lit(1)).alias("n")).select("space_key", F.lit("purged").alias("what"), "n")
+    return purged.unionByName(room.groupBy("space_key").agg(F.count(F.lit(1)).alias("n")).select("space_key", F.lit("embedded").alias("what"), "n"))
+
+
 def sc10_line_hits(spark, folder):
     """Lines of excerpts that hold a term, 20 lines of an excerpt at most, and their best window (SC9, SC10, AG22, WN14, RT15)."""
     c = table(spark, folder, "context").select("block_id", F.posexplode("lines").alias("line_no", "line"))
@@ -207,7 +237,7 @@ def fn3_escaped(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    rt2_keyword_score, rt1_bm25, rt5_nearest, rt5_index_recall, rt6_above_threshold, rt10_reciprocal_rank, rt11_weighted, rt9_routed, ag24_recall_mrr, rt7_routes, rt12_refresh_plan, rt14_same_words, sc10_line_hits, fn10_redacted, fn8_fingerprints, fn12_route_paths, fn1_identifier_words, fn4_stems, fn44_clipped, gr13_within, fn40_test_paths, fn5_search_terms, fn3_escaped,
+    rt2_keyword_score, rt1_bm25, rt5_nearest, rt5_index_recall, rt6_above_threshold, rt10_reciprocal_rank, rt11_weighted, rt9_routed, ag24_recall_mrr, rt7_routes, rt12_refresh_plan, rt14_same_words, rt14_similar, rt13_room, sc10_line_hits, fn10_redacted, fn8_fingerprints, fn12_route_paths, fn1_identifier_words, fn4_stems, fn44_clipped, gr13_within, fn40_test_paths, fn5_search_terms, fn3_escaped,
 )}
 
 _COS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, label AS ql, e AS qe FROM v WHERE vec_id % 20 = 0), n AS (SELECT query_id, vec_id, ql, label, list_cosine_similarity(qe, e) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, e), 12) DESC, vec_id) AS rank FROM q, v)"
@@ -260,6 +290,12 @@ m AS (SELECT *, regexp_matches(x, '-----BEGIN[A-Z ]*PRIVATE KEY-----') AS b, reg
 n AS (SELECT *, last_value(CASE WHEN e THEN 0 WHEN b THEN 1 END IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM m)
 SELECT block_id, CAST(sum(CAST(b OR coalesce(inside, 0) = 1 OR contains(x, '[REDACTED]') OR {" OR ".join(f"regexp_matches(x, '{p}')" for p in X.CREDENTIAL_SHAPES[:8])}
   OR regexp_matches(x, '(?i)\\b(api[_-]?key|secret|token|password|passwd|credential)s?\\b(\\s*[:=]\\s*)("[^''"\\n]{{8,}}"|''[^''"\\n]{{8,}}'')') AS INT)) AS INTEGER) AS hidden, CAST(count(*) AS INTEGER) AS lines FROM n GROUP BY 1""",
+    "rt14_similar": f"""WITH {_COS}, a AS (SELECT query_id, vec_id, 0 AS how, rank AS r FROM n WHERE rank <= 6 AND score >= 0.1 AND query_id <> vec_id), f AS (SELECT vec_id, vec_id % 100 AS w, row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) AS r FROM v),
+b AS (SELECT query_id, f.vec_id, 1 AS how, r FROM q JOIN f ON f.w = query_id % 100 WHERE r <= 6 AND query_id <> f.vec_id), m AS (SELECT query_id, vec_id, min(how * 100 + r) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k, vec_id) AS p FROM m) SELECT query_id, CAST(sum(CAST(k < 100 AS INT)) AS BIGINT) AS meaning, CAST(sum(CAST(k >= 100 AS INT)) AS BIGINT) AS words FROM z WHERE p <= 5 GROUP BY 1""",
+    "rt13_room": """WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, version % 4 = 0 AS old FROM d WHERE version > 5), k AS (SELECT doc_id FROM s WHERE NOT old), h AS (SELECT space_key, count(*) AS c FROM d WHERE doc_id IN (SELECT doc_id FROM k) GROUP BY 1),
+r AS (SELECT space_key, row_number() OVER (PARTITION BY space_key ORDER BY updated_at DESC NULLS LAST, doc_id) AS p FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k))
+SELECT space_key, 'purged' AS what, count(*) AS n FROM d WHERE doc_id IN (SELECT doc_id FROM s WHERE old) GROUP BY 1 UNION ALL SELECT r.space_key, 'embedded', count(*) FROM r LEFT JOIN h ON h.space_key IS NOT DISTINCT FROM r.space_key WHERE p <= 40 - coalesce(c, 0) GROUP BY 1""",
     "rt14_same_words": f"WITH {_S}, q AS (SELECT item_id AS query_id, workspace_id, list_slice(list_transform(list_sort(list_transform({_LONG.format(x='title')}, lambda w: struct_pack(l := -length(w), w := w))), lambda x: x.w), 1, 5) AS ws FROM s), b AS (SELECT item_id, workspace_id, {_LONG.format(x='concat_ws(chr(32), title, description_md)')} AS al FROM s) SELECT query_id, count(*) AS n FROM q JOIN b ON b.workspace_id = q.workspace_id AND b.item_id <> q.query_id AND len(ws) = 5 AND list_has_all(al, ws) GROUP BY 1",
     "sc10_line_hits": """WITH l AS (SELECT block_id, k - 1 AS line_no, lower(lines[k]) AS x FROM (SELECT block_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM context)), h AS (SELECT block_id, line_no, t AS term FROM l, (SELECT unnest(['scanner', 'queue', 'return']) AS t) WHERE contains(x, t)),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY block_id ORDER BY line_no) AS d FROM h), g AS (SELECT *, count(*) OVER (PARTITION BY block_id ORDER BY line_no RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS near FROM r WHERE d <= 20)

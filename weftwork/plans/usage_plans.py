@@ -56,7 +56,8 @@ def sm13_window_stack(spark, folder):
 def ag25_type_shares(spark, folder):
     """The share of each kind of event with its 95 % interval, and the median value (AG25)."""
     e = table(spark, folder, "events")
-    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("hits"), F.round(F.median("value"), 6).alias("median_value")).withColumn("total", F.sum("hits").over(Window.partitionBy()))
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("hits")).withColumn("total", F.sum("hits").over(Window.partitionBy()))  # a row per kind
+    g = g.join(U.exact_medians(e, ["event_type"], "value", "m"), "event_type", "left").withColumn("median_value", F.round("m", 6))
     low, high = U.wilson(F.col("hits"), F.col("total"))
     return g.select("event_type", "hits", "median_value", low.alias("low"), high.alias("high"))
 
@@ -107,8 +108,28 @@ def sm16_expired(spark, folder):
     return d.groupBy("workspace_id").agg(F.sum(gone.cast("long")).alias("dropped"), F.sum((~gone).cast("long")).alias("kept"))
 
 
+def sm18_coalesced(spark, folder):
+    """Runs of a job of ten minutes that requests ask for: one that comes while a run is on waits for one more run, however
+    many there are, three in a row at most (SM18): per member, requests and runs."""
+    return U.coalesced_runs(table(spark, folder, "events"), "user_id", "ts", "event_id", 600, 3).groupBy("subject").agg(F.count(F.lit(1)).alias("requests"), F.sum("runs").cast("long").alias("runs"))
+
+
+def jn32_pushes(spark, folder):
+    """Repositories that a push to their main branch concerns, each once (JN32): events as pushes, every third to a branch."""
+    e = table(spark, folder, "events").select((F.col("user_id") % 20).alias("no"), F.when(F.col("event_id") % 3 == 0, "refs/heads/main").otherwise(F.concat(F.lit("refs/heads/b"), (F.col("event_id") % 7).cast("string"))).alias("ref"))
+    f = table(spark, folder, "facts_py").select("repo").distinct().select("repo", F.regexp_extract("repo", "([0-9]*)$", 1).alias("d")).filter("d <> ''").select("repo", F.col("d").cast("long").alias("no"), F.lit("refs/heads/main").alias("ref"))
+    return e.join(broadcast_if_small(f), ["no", "ref"]).groupBy("repo").agg(F.count(F.lit(1)).alias("pushes"))
+
+
+def st4_shared_kinds(spark, folder):
+    """Kinds of events that every part of a month has: an intersection of sets (ST4)."""
+    e = table(spark, folder, "events")
+    part = lambda lo, hi: e.filter((F.dayofmonth("ts") >= lo) & (F.dayofmonth("ts") < hi)).select("event_type", (F.col("user_id") % 100).alias("group")).distinct()
+    return part(1, 8).intersect(part(8, 15)).intersect(part(15, 32))
+
+
 QUERIES = {f.__name__: f for f in (
-    ag5_usage_totals, fn27_usage_by_local_day, fn28_month_windows, sm12_hourly_admission, sm13_window_stack, ag25_type_shares, wn13_newest_per_channel, wn8_latest_delivery, wn5_first_read_ref, jn24_watched_channels, fn30_retry_after, sm16_expired,
+    ag5_usage_totals, fn27_usage_by_local_day, fn28_month_windows, sm12_hourly_admission, sm13_window_stack, ag25_type_shares, wn13_newest_per_channel, wn8_latest_delivery, wn5_first_read_ref, jn24_watched_channels, fn30_retry_after, sm16_expired, sm18_coalesced, jn32_pushes, st4_shared_kinds,
 )}
 
 _C = "event_type IN ('click', 'view', 'error')"
@@ -137,6 +158,14 @@ SELECT * FROM decisions WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITIO
     "wn5_first_read_ref": "SELECT workspace_id, channel, thread_ts, arg_min(read_ref, struct_pack(a := received_at, b := row_id)) AS first_ref, count(*) AS n FROM decisions WHERE thread_ts IS NOT NULL AND read_ref IS NOT NULL GROUP BY 1, 2, 3",
     "jn24_watched_channels": """SELECT d.workspace_id, count(*) AS messages, CAST(sum(CAST(m.user_id IS NOT NULL AS INTEGER)) AS BIGINT) AS by_members FROM decisions d
 LEFT JOIN (SELECT DISTINCT workspace_id, user_id FROM members) m ON m.workspace_id = d.workspace_id AND m.user_id = d."user" WHERE d.workspace_id IN (SELECT workspace_id FROM members) GROUP BY 1""",
+    "jn32_pushes": "WITH r AS (SELECT DISTINCT repo, try_cast(regexp_extract(repo, '([0-9]*)$', 1) AS BIGINT) AS no FROM facts_py) SELECT repo, count(*) AS pushes FROM events JOIN r ON r.no = user_id % 20 WHERE event_id % 3 = 0 GROUP BY 1",
+    "st4_shared_kinds": 'SELECT event_type, user_id % 100 AS "group" FROM events WHERE day(ts) < 8 INTERSECT SELECT event_type, user_id % 100 FROM events WHERE day(ts) >= 8 AND day(ts) < 15 INTERSECT SELECT event_type, user_id % 100 FROM events WHERE day(ts) >= 15',
+    "sm18_coalesced": """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, t + 600000000 AS busy, false AS again, 1 AS row_, 1 AS runs FROM o WHERE k = 1
+  UNION ALL SELECT user_id, k, CASE WHEN t >= b THEN t + 600000000 ELSE b END, CASE WHEN t >= b THEN false WHEN rw < 3 THEN true ELSE ag END, CASE WHEN t >= b THEN 1 ELSE rw END, CASE WHEN t >= b THEN rn + 1 ELSE rn END FROM (
+    SELECT o.user_id, o.k, o.t, CASE WHEN again AND o.t >= busy THEN busy + 600000000 ELSE busy END AS b, CASE WHEN again AND o.t >= busy THEN false ELSE again END AS ag, CASE WHEN again AND o.t >= busy THEN row_ + 1 ELSE row_ END AS rw, CASE WHEN again AND o.t >= busy THEN runs + 1 ELSE runs END AS rn
+    FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT CAST(user_id AS VARCHAR) AS subject, count(*) AS requests, CAST(arg_max(runs + CAST(again AS INT), k) AS BIGINT) AS runs FROM r GROUP BY 1""",
     "fn30_retry_after": "WITH n AS (SELECT max(ts) AS t FROM events) SELECT user_id, CAST(greatest(0, ceil(3600 - (epoch_us(t) - epoch_us(max(ts))) / 1000000.0)) AS BIGINT) AS seconds FROM events, n GROUP BY user_id, t",
     "sm16_expired": "WITH n AS (SELECT max(received_at) AS t FROM decisions) SELECT workspace_id, CAST(sum(CAST(received_at < t - INTERVAL 3 DAYS AS INTEGER)) AS BIGINT) AS dropped, CAST(sum(CAST(NOT received_at < t - INTERVAL 3 DAYS AS INTEGER)) AS BIGINT) AS kept FROM decisions, n GROUP BY 1",
 }

@@ -15,13 +15,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def fetch(folder: str, page: str) -> list[dict]:
-    """The items of one page."""
-    return json.loads(Path(folder, page).read_text())
+    """The items of one page: a list, or one item on each line."""
+    text = Path(folder, page).read_text()
+    return json.loads(text) if text.lstrip().startswith("[") else [json.loads(x) for x in text.splitlines() if x.strip()]
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.folder, self.since = options["pages"], options.get("since")
+        self.folder, self.since = options["pages"].removeprefix("file://").removeprefix("file:"), options.get("since")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p.name) for p in sorted(Path(self.folder).glob("*.json"))]
