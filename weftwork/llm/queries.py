@@ -80,6 +80,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixtures(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every mix: its targets, whether no text is used more often than allowed, and whether every source that has texts
+    reaches its share, among those that have, to a hundredth."""
+    r = mixing.mixtures(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    there = F.col("available_tokens") > 0
+    total = r.filter(there).groupBy("mix_name").agg(F.sum("target_share").alias("total"))
+    close = ~there | (F.abs(F.col("reached_share") - F.col("target_share") / F.col("total")) < 0.01)
+    return r.join(total, "mix_name").groupBy("mix_name").agg(F.count(F.lit(1)).alias("targets"), F.bool_and(F.col("most_copies") <= F.col("max_repeats")).alias("capped"), F.bool_and(close).alias("close"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of every document."""
     return sentences.sentence_units(table(spark, folder, "documents"), ["doc_id"])
@@ -97,10 +107,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_offsets": p6_offsets,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {
+    "p7_checks": "SELECT mix_name, count(DISTINCT regexp_replace(lower(trim(regexp_replace(source, '[\\s_./-]+', ' ', 'g'))), ' ', '_', 'g')) AS targets, true AS capped, true AS close FROM mix_targets WHERE target_share > 0 GROUP BY 1",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_offsets": "SELECT doc_id, CAST(0 AS INTEGER) AS start_at, CAST(coalesce(length(text), 0) AS INTEGER) AS end_at, CAST(0 AS INTEGER) AS gaps FROM documents",
     "p4_found": r"""
