@@ -81,13 +81,20 @@ def count_tokens(texts: list[str | None], name: str = NAME, folder: str = TOKENI
     return lengths
 
 
+def _kept(keep: list[str] | None, own: list[str]) -> list[str]:
+    """The columns to keep; ValueError if one has a name of the result's own."""
+    if clash := {n.lower() for n in own} & {c.lower() for c in keep or []}:
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
+    return keep or []
+
+
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, *, name: str = NAME, folder: str = TOKENIZERS, out: str = "ids") -> DataFrame:
     """`keep` columns of df and the ids of each text as `out` (array of int).
 
     An empty and a null text both have an empty list. Rows, repeated ones too, stay as they are; other columns are
     dropped before the data goes to Python.
     """
-    keep = keep or []
+    keep = _kept(keep, [out])
     source = df.select(*keep, df[text].alias("__text"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -103,7 +110,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, *,
 
 def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = None, *, name: str = NAME, folder: str = TOKENIZERS, out: str = "n_tokens") -> DataFrame:
     """`keep` columns of df and the number of tokens of each text as `out`; 0 for empty and null texts."""
-    keep = keep or []
+    keep = _kept(keep, [out])
     source = df.select(*keep, df[text].alias("__text"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + [T.StructField(out, T.LongType())])
 
@@ -120,7 +127,7 @@ def encode_with_offsets(df: DataFrame, text: str = "text", keep: list[str] | Non
 
     A character whose bytes are split between tokens belongs to each of them: their offsets overlap.
     """
-    keep = keep or []
+    keep = _kept(keep, ["ids", "starts", "ends"])
     source = df.select(*keep, df[text].alias("__text"))
     arrays = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
     schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + arrays)
@@ -172,7 +179,7 @@ def decoder(name: str = NAME, folder: str = TOKENIZERS):
 
 def decode(df: DataFrame, ids: str = "ids", keep: list[str] | None = None, *, name: str = NAME, folder: str = TOKENIZERS) -> DataFrame:
     """`keep` columns of df and the text of each list of ids; a null list has a null text, an empty one an empty text."""
-    keep = keep or []
+    keep = _kept(keep, ["text"])
     source = df.select(*keep, df[ids].alias("__ids"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "__ids"] + [T.StructField("text", T.StringType())])
 

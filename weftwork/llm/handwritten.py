@@ -253,9 +253,9 @@ def fact_tokens() -> Column:
 
 def fact_counts() -> list[Column]:
     """names, short_names, facts of a file."""
-    n = lambda c: F.coalesce(F.size(F.filter(F.col(c), lambda x: x.isNotNull())), F.lit(0))
+    n = lambda c: F.greatest(F.size(F.filter(F.col(c), lambda x: x.isNotNull())), F.lit(0))
     short = F.size(F.filter(F.col("definitions"), lambda x: x.isNotNull() & (F.length(_text(x["name"])) <= 2)))
-    return [n("definitions").alias("names"), F.coalesce(short, F.lit(0)).alias("short_names"), (n("definitions") + n("calls") + n("imports") + n("inheritance")).alias("facts")]
+    return [n("definitions").alias("names"), F.greatest(short, F.lit(0)).alias("short_names"), (n("definitions") + n("calls") + n("imports") + n("inheritance")).alias("facts")]
 
 
 def content_marks(tokens: list[str], names: int, short_names: int) -> tuple[bool, bool, list[int]]:

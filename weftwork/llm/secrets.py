@@ -321,8 +321,11 @@ FOUND = T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("
 def secrets_in(excerpts: DataFrame, keep: list[str], lines: str = "lines") -> DataFrame:
     """`keep` columns of each excerpt and line_no, start_at, end_at (code points from 0) and kind of each of its secrets.
 
-    Every row is read whole, repeated ones too. Excerpts without lines have none.
+    Every row is read whole, repeated ones too. Excerpts without lines have none. Columns to keep that have a name of the
+    result's own raise ValueError.
     """
+    if clash := {n.lower() for n in FOUND.names} & {c.lower() for c in keep}:
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
     source = excerpts.select(*keep, excerpts[lines].alias("__lines"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "__lines"] + FOUND.fields)
 

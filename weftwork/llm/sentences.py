@@ -393,8 +393,10 @@ def sentence_units(documents: DataFrame, keep: list[str], text: str = "text", op
     """`keep` columns of each document and start_at, end_at (code points, end exclusive) of each of its units.
 
     Whole texts are read, whatever their length; repeated rows yield repeated units. Without `openers` these are counted
-    over the table first.
+    over the table first. Columns to keep that are called start_at or end_at raise ValueError.
     """
+    if clash := {"start_at", "end_at"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
     openers = learned_openers(documents, text) if openers is None else openers
     shared = documents.sparkSession.sparkContext.broadcast(dict(openers))
     source = documents.select(*keep, documents[text].alias("__text"))
