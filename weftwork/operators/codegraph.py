@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,19 +18,24 @@ CONTAINMENT = ["CONTAINS", "DEFINES", "HAS_MEMBER"]
 OUTWARD, KEY_NAMES = 0.5, 5
 
 
-@dataclass
 class Links:
-    """The files of a graph and what their imports and references mean, each kept as a table."""
+    """The files of a graph and what their imports and references mean; each is kept as a table when first asked for."""
 
-    files: DataFrame
-    imports: DataFrame
-    bound: DataFrame
+    def __init__(self, files: DataFrame, scopes: DataFrame | None = None, roots: DataFrame | None = None, packages: DataFrame | None = None):
+        self.files, self._settings = files, (scopes, roots, packages)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return materialised(linking.resolved_imports(self.files, *self._settings))
+
+    @cached_property
+    def bound(self) -> DataFrame:
+        return materialised(linking.bound_references(self.files, self.imports))
 
 
 def link(files: DataFrame, scopes: DataFrame | None = None, roots: DataFrame | None = None, packages: DataFrame | None = None) -> Links:
     """Links of files; the settings are those of linking.resolved_imports."""
-    imports = materialised(linking.resolved_imports(files, scopes, roots, packages))
-    return Links(files, imports, materialised(linking.bound_references(files, imports)))
+    return Links(files, scopes, roots, packages)
 
 
 def current_facts(facts: DataFrame) -> DataFrame:

@@ -188,7 +188,6 @@ def exported(asked: DataFrame, files: DataFrame, linked: DataFrame) -> DataFrame
     stars = stars.select("repo", F.col("path").alias("at"), F.col("k").alias("star"), F.col("file").alias("star_file"))
     names = bindings(linked)[0].filter("symbol IS NOT NULL").select("repo", F.col("path").alias("at"), F.col("name").alias("eff"), F.col("file").alias("bound"), F.col("symbol").alias("bound_name"))
     default = files.filter("default_export IS NOT NULL").select("repo", F.col("path").alias("at"), F.col("default_export").alias("own"))
-    again, further, stars, names, table = (materialised(t) for t in (again, further, stars, names, table))
     front = asked.select("repo", "file", "name").distinct().select("repo", "file", "name", F.col("file").alias("at"), F.col("name").alias("want"), F.array().cast("array<int>").alias("way"))
     is_default, key = F.col("want") == "default", ["repo", "file", "name"]
     found = []
@@ -207,6 +206,10 @@ def exported(asked: DataFrame, files: DataFrame, linked: DataFrame) -> DataFrame
             onward = wide.filter("go IS NOT NULL").select(*key, F.col("go.next").alias("at"), F.col("go.next_name").alias("want"), "way")
             spread = wide.filter("hit IS NULL AND go IS NULL").join(stars, ["repo", "at"]).select(*key, F.col("star_file").alias("at"), F.col("eff").alias("want"), F.array_append("way", F.col("star")).alias("way"))
             front = onward.unionByName(spread)
+            if front.isEmpty():
+                break
+            if depth == 0:  # names that are passed on need the tables again
+                again, further, stars, names, table = (materialised(t) for t in (again, further, stars, names, table))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy(*key).agg(F.min_by(F.struct("in_file", "qualified"), "way").alias("r")).select(*key, "r.in_file", "r.qualified")
 
