@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import tracker as K
 from weftwork.operators import incremental as I
 from weftwork.plans.board_plans import _CM, _I, KEYS, items
-from weftwork.session import shared_folder
+from weftwork.session import broadcast_if_small, shared_folder
 from weftwork.sources import paged
 from weftwork.tables import table
 
@@ -172,7 +172,7 @@ def sm14_pulled(spark, folder):
     ends = t.groupBy("snapshot_no").agg(F.max("synced_at").alias("end"))
     w = Window.orderBy("snapshot_no")  # one row per delivery
     ends = ends.withColumn("since", F.lag("end").over(w)).filter("since IS NOT NULL")
-    j = t.join(F.broadcast(ends), "snapshot_no")
+    j = t.join(broadcast_if_small(ends), "snapshot_no")
     overlap = F.col("synced_at") >= F.col("since") - F.expr("INTERVAL 5 MINUTES")
     return j.groupBy("snapshot_no").agg(F.max(F.col("end") >= F.col("since") + F.expr("INTERVAL 1 HOUR")).alias("full"), n_rows("items"), F.sum(overlap.cast("long")).alias("pulled"))
 
