@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftwork.functions import richtext as T
 from weftwork.functions import tracker as K
 from weftwork.functions import web as Y
 from weftwork.operators import codegraph as G
@@ -254,9 +255,21 @@ def fn43_repository_names(spark, folder):
     return r.select(v.alias("name")).select("name", Y.valid_repository(F.col("name")).alias("ok")).distinct()
 
 
+def fn24_rich_text(spark, folder):
+    """Pages written as rich text, a heading, a list and code, and read back as Markdown, plain text and image ids (FN24, FN25)."""
+    quoted = lambda c: F.expr(f"substring(to_json(struct({c} AS x)), 6, length(to_json(struct({c} AS x))) - 6)")
+    d = table(spark, folder, "documents").filter("title IS NOT NULL AND space_key IS NOT NULL AND source IS NOT NULL AND length(trim(title)) > 0")
+    text = F.concat(
+        F.lit('{"type":"doc","content":[{"type":"heading","attrs":{"level":2},"content":[{"type":"text","text":'), quoted("title"), F.lit('}]},{"type":"bulletList","content":[{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":'), quoted("space_key"),
+        F.lit(',"marks":[{"type":"strong"}]}]}]}]},{"type":"codeBlock","attrs":{"language":"py"},"content":[{"type":"text","text":'), quoted("source"), F.lit('}]},{"type":"image","attrs":{"attachmentId":"img-'), (F.col("doc_id") % 7).cast("string"), F.lit('"}}]}'),
+    )
+    d = d.select("doc_id", text.alias("t"))
+    return d.select("doc_id", T.markdown_of(F.col("t")).alias("markdown"), T.text_of(F.col("t")).alias("plain"), F.array_join(T.images_of(F.col("t")), ",").alias("images"))
+
+
 QUERIES = {f.__name__: f for f in (
     pf3_predicates, pf20_derived_status, pf18_next_due, pf22_attempts, pf10_edge_types, sc2_point_lookup, sc6_stored_facts, sc9_line_ranges, sc5_languages, sc16_backfilled, ag2_deepest, ag21_discussions, ag30_statuses, ag31_ready, jn36_kept_columns,
-    jn27_item_columns, sl9_open_order, sl10_arranged, sl11_areas, sl5_by_name, sl8_worth_embedding, fn41_file_texts, fn20_current_sprint, fn21_link_labels, fn34_image_types, fn35_page_titles, fn36_urls, fn43_repository_names,
+    jn27_item_columns, sl9_open_order, sl10_arranged, sl11_areas, sl5_by_name, sl8_worth_embedding, fn41_file_texts, fn20_current_sprint, fn21_link_labels, fn34_image_types, fn35_page_titles, fn36_urls, fn43_repository_names, fn24_rich_text,
 )}
 
 _CF = "cf AS (SELECT f.* FROM facts_py f JOIN (SELECT repo, max(snapshot_no) AS s FROM facts_py GROUP BY repo) l ON f.repo = l.repo AND f.snapshot_no = l.s QUALIFY row_number() OVER (PARTITION BY f.repo, f.path ORDER BY extracted_at DESC, row_id DESC) = 1)"
@@ -264,6 +277,7 @@ _HELD = "h AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', {}, '{}')".format
 _SYM = f"{_CF}, df AS (SELECT repo, path, CAST(pos - 1 AS INTEGER) AS pos, definitions[pos] AS d FROM (SELECT repo, path, definitions, unnest(range(1, len(definitions) + 1)) AS pos FROM cf)), sy AS (SELECT repo, path, pos, d, repo || ':' || path || '#' || d.qualified_name || CASE WHEN o > 1 THEN '@' || o ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, d.qualified_name ORDER BY pos) AS o FROM df))"
 _B = "CAST(sum(CAST(coalesce({}, false) AS INT)) AS BIGINT)"
 SQL = {
+    "fn24_rich_text": "SELECT doc_id, '## ' || title || chr(10) || chr(10) || '- **' || space_key || '**' || chr(10) || chr(10) || '```py' || chr(10) || source || chr(10) || '```' AS markdown, title || chr(10) || space_key || chr(10) || source || chr(10) AS plain, 'img-' || (doc_id % 7) AS images FROM documents WHERE title IS NOT NULL AND space_key IS NOT NULL AND source IS NOT NULL AND length(trim(title)) > 0",
     "pf3_predicates": f"WITH {_I} SELECT workspace_id, {_B.format('''NOT coalesce(status_category = 'done', false) OR updated_at >= TIMESTAMP '2026-03-18' ''')} AS recent, {_B.format('coalesce(len(labels), 0) < 3')} AS room, {_B.format('''status_category IN ('todo', 'in_progress')''')} AS active, count(*) AS n FROM s GROUP BY 1",
     "pf20_derived_status": f"WITH {_I} SELECT CASE WHEN coalesce(status_category, '') <> 'done' AND due_date < '2026-03-01' THEN 'late' ELSE coalesce(status_category, 'none') END AS status, count(*) AS n FROM s GROUP BY 1",
     "pf18_next_due": f"WITH {_I} SELECT workspace_id, source, item_id FROM s WHERE (status_category = 'todo' AND due_date IS NOT NULL) OR (status_category = 'in_progress' AND coalesce(updated_at < TIMESTAMP '2026-01-30', true)) QUALIFY row_number() OVER (PARTITION BY workspace_id, source ORDER BY due_date NULLS LAST, item_id) = 1",

@@ -125,7 +125,7 @@ def rt12_refresh_plan(spark, folder):
 def rt14_same_words(spark, folder):
     """Items whose text has the five longest words of another item's title: the words half of RT14.
 
-    Titles of fewer than five words ask nothing, as in the reference. Words are joined by equality."""
+    Titles of fewer than five words ask nothing. Words are joined by equality."""
     from weftwork.plans.board_plans import items
 
     s = items(spark, folder)
