@@ -50,3 +50,11 @@ def test_edited_copy_of_foreign_code_is_found(spark):
     own = [*WORDS[:4], *[f"own{i}" for i in range(20)]]
     found = made(spark, [facts("vendored/parts.py", WORDS), facts("app/parts.py", edited, repo="a/two"), facts("app/own.py", own, repo="a/two")])
     assert found == {("a/one", "vendored/parts.py"): ["foreign"], ("a/two", "app/parts.py"): ["copy"]}
+
+
+def test_folder_stays_foreign_when_few_library_files_recur_in_many_repositories(spark):
+    """Each repository adds files of its own to the folder, so the one library file is an ever smaller share of the contents."""
+    library = [(f"a/r{i}", "vendored/parts.py", "same", *facts("", WORDS)[3:]) for i in range(30)]
+    fresh = [facts(f"vendored/own{i}_{j}.py", [f"w{i}_{j}_{k}" for k in range(12)], repo=f"a/r{i}") for i in range(30) for j in range(2)]
+    home = [facts(f"app/own{i}.py", [f"h{i}_{k}" for k in range(12)], repo=f"a/r{i}") for i in range(30)]
+    assert made(spark, library + fresh + home) == {(r[0], r[1]): ["foreign"] for r in library + fresh}

@@ -41,8 +41,9 @@ LITERALS, LITERALS_SAVED = 0.75, 0.3
 RULE_TOKENS, COPIED = 4, 0.5
 #: Rules in so many repositories are foreign in any folder, for contents of LEAST_RULES rules; people repeat their own files in two or three.
 REPOSITORIES, LEAST_RULES = 5, 8
-#: A folder holds foreign code from this share of shared contents on. A usual name counts as one shared content of two;
-#: any other folder needs KNOWN contents in SPREAD repositories, and LEARNED of them shared.
+#: A usual folder holds foreign code from this share of shared contents on, each counted in every repository that has it: a
+#: library's files are few, so among distinct contents their share falls as repositories are added. The name counts as one
+#: shared content of two. Any other folder needs KNOWN distinct contents in SPREAD repositories, and LEARNED of them shared.
 SHARED, KNOWN, SPREAD, LEARNED = 0.1, 20, 3, 0.8
 #: So many lines for each fact and one more: a file of more is data.
 LINES_A_FACT = 2500
@@ -304,10 +305,12 @@ def folders_of(path: Column) -> Column:
 def foreign_folders(files: DataFrame, shared: DataFrame) -> DataFrame:
     """folder: the folder names under which contents mostly recur in other repositories. files: repo, path, key; shared: key."""
     under = files.select("repo", "key", F.explode(folders_of(F.col("path"))).alias("folder")).distinct().join(shared.select("key", F.lit(1).alias("s")), "key", "left")
-    n = under.groupBy("folder", "key").agg(F.max(F.coalesce("s", F.lit(0))).alias("s"), F.count(F.lit(1)).alias("repos")).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("k"))
+    n = under.groupBy("folder", "key").agg(F.max(F.coalesce("s", F.lit(0))).alias("s"), F.count(F.lit(1)).alias("repos")).groupBy("folder").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s").alias("k"), F.sum("repos").alias("places"), F.sum(F.col("s") * F.col("repos")).alias("known")
+    )
     repos = under.select("folder", "repo").distinct().groupBy("folder").agg(F.count(F.lit(1)).alias("repos"))
     usual = F.col("folder").rlike(FOREIGN)
-    listed = usual & (F.col("k") + 1 >= SHARED * (F.col("n") + 2))
+    listed = usual & (F.col("known") + 1 >= SHARED * (F.col("places") + 2))
     learned = ~usual & (F.col("n") >= KNOWN) & (F.col("repos") >= SPREAD) & (F.col("k") >= LEARNED * F.col("n"))
     return n.join(repos, "folder").filter(listed | learned).select("folder")
 
