@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import identifier_words, words
-from weftwork.session import materialised
+from weftwork.session import broadcast_if_small, materialised
 
 # What a matching word counts in each field, and what a prefix of a word counts.
 FIELD_BOOSTS = {"name": 4.0, "path": 2.0, "file_path": 2.0, "signature": 1.0, "docstring": 0.5}
@@ -248,3 +248,66 @@ def best_windows(hits: DataFrame, key: list[str], reach: int = 12) -> DataFrame:
     return hits.withColumn("near", near).groupBy(*key).agg(
         F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("hits"), F.max(F.struct("near", (-F.col("line_no")).alias("neg"))).alias("best")
     ).select(*key, "terms", "hits", F.greatest(-F.col("best.neg") - reach, F.lit(1)).alias("first_line"), (-F.col("best.neg") + reach).alias("last_line"))
+
+
+#: Sets and queries that one task counts at a time, and the sets that a word lies in from which they're kept as bits.
+SETS, QUERIES, COMMON = 32_768, 262_144, 32
+
+
+def _counted(k: int):
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        sets, asked = b["words"].combine_chunks(), q["words"].combine_chunks()
+        flat = sets.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        holder = np.repeat(np.arange(len(sets)), pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+        in_sets = np.bincount(codes, minlength=len(flat.dictionary))
+        ends, by_word = np.cumsum(in_sets), holder[np.argsort(codes, kind="stable")]
+        wanted = pc.fill_null(pc.index_in(asked.flatten(), value_set=flat.dictionary), -1).to_numpy(zero_copy_only=False).reshape(-1, k)
+        at = np.flatnonzero((wanted >= 0).all(axis=1))
+        wanted = wanted[at]
+        wanted = np.take_along_axis(wanted, np.argsort(in_sets[wanted], axis=1, kind="stable"), axis=1)
+        bits: dict[int, int] = {}
+        few: dict[int, set[int]] = {}
+        for w in np.unique(wanted).tolist():
+            where = by_word[ends[w] - in_sets[w] : ends[w]]
+            if len(where) < COMMON:
+                few[w] = set(where.tolist())
+            else:
+                row = np.zeros(len(sets), bool)
+                row[where] = True
+                bits[w] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+        n = np.zeros(len(at), np.int64)
+        for i, (first, *rest) in enumerate(wanted.tolist()):
+            if first in few:
+                hit = few[first]
+                for w in rest:
+                    hit = hit & few[w] if w in few else {x for x in hit if bits[w] >> x & 1}
+                    if not hit:
+                        break
+                n[i] = len(hit)
+            else:
+                every = bits[first]
+                for w in rest:
+                    every &= bits[w]
+                n[i] = every.bit_count()
+        found = np.flatnonzero(n)
+        out = q.select(["of", "words"]).take(pa.array(at[found])).rename_columns(["scope", "words"])
+        return out.append_column("n", pa.array(n[found], pa.int64()))
+
+    return run
+
+
+def sets_with_all(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """scope, words, n: how many sets of its scope have all k words of each query; a query without any has no row.
+
+    queries: scope, words, distinct; sets: scope, id, words without repeats. A task takes SETS sets and QUERIES queries of a
+    scope at a time and intersects the words' postings, the rarest first; no row is written per word or per pair.
+    """
+    queries, sets = queries.filter("scope IS NOT NULL"), sets.filter("scope IS NOT NULL")
+    blocks = lambda df, size, name: df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    grid = broadcast_if_small(materialised(blocks(sets, SETS, "blocks").join(blocks(queries, QUERIES, "parts"), "scope")))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    b = sets.join(grid, "scope").select("scope", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), all_of("parts").alias("part"), "words")
+    q = queries.join(grid, "scope").select(F.col("scope").alias("of"), all_of("blocks").alias("block"), F.pmod(F.xxhash64("words"), F.col("parts")).cast("int").alias("part"), "words")
+    n = q.groupBy("of", "block", "part").cogroup(b.groupBy("scope", "block", "part")).applyInArrow(_counted(k), "scope string, words array<string>, n long")
+    return n.groupBy("scope", "words").agg(F.sum("n").alias("n"))

@@ -13,6 +13,7 @@ from weftwork.operators import incremental as I
 from weftwork.operators import search as S
 from weftwork.plans.board_plans import FOLD
 from weftwork.plans.graph_plans import files
+from weftwork.session import materialised
 from weftwork.tables import table
 
 #: The searches take every row whose id is divisible by this as a query, against all rows.
@@ -125,17 +126,16 @@ def rt12_refresh_plan(spark, folder):
 def rt14_same_words(spark, folder):
     """Items whose text has the five longest words of another item's title: the words half of RT14.
 
-    Titles of fewer than five words ask nothing. Words are joined by equality."""
+    Titles of fewer than five words ask nothing. Equal questions are counted once, and an item doesn't count for its own."""
     from weftwork.plans.board_plans import items
 
-    s = items(spark, folder)
     words = lambda c: F.array_distinct(F.filter(X.words(c), lambda w: F.length(w) > 2))
     longest = F.slice(F.array_sort(F.transform(words(F.col("title")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 5)
-    q = s.select(F.col("item_id").alias("query_id"), "workspace_id", F.transform(longest, lambda x: x["w"]).alias("ws")).filter(F.size("ws") == 5)
-    rare = q.select("query_id", "workspace_id", "ws", F.element_at("ws", 1).alias("w"))
-    body = s.select("item_id", "workspace_id", words(F.concat_ws(" ", "title", "description_md")).alias("all"))
-    hit = rare.join(body.select("item_id", "workspace_id", "all", F.explode("all").alias("w")), ["workspace_id", "w"]).filter((F.col("query_id") != F.col("item_id")) & (F.size(F.array_intersect("ws", "all")) == 5))
-    return hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    s = items(spark, folder).filter("item_id IS NOT NULL").select(F.col("workspace_id").alias("scope"), "item_id", F.transform(longest, lambda x: x["w"]).alias("ws"), words(F.concat_ws(" ", "title", "description_md")).alias("words"))
+    s = materialised(s)
+    q = s.filter(F.size("ws") == 5).select("scope", "item_id", F.col("ws").alias("words"), (F.size(F.array_intersect("ws", "words")) == 5).cast("long").alias("own"))
+    n = S.sets_with_all(q.select("scope", "words").distinct(), s.select("scope", F.col("item_id").alias("id"), "words"), 5)
+    return q.join(n, ["scope", "words"]).select(F.col("item_id").alias("query_id"), (F.col("n") - F.col("own")).alias("n")).filter("n > 0")
 
 
 def rt14_similar(spark, folder):
