@@ -143,3 +143,9 @@ def test_unknown_kinds_are_errors(spark):
         G_kinds(["CALLS", "LIKES"])
     with pytest.raises(ValueError):
         G.neighbourhood(spark.createDataFrame([], "source string, target string"), spark.createDataFrame([], "id string"), 4)
+
+
+def test_module_totals_of_folders_whose_files_have_no_language(spark):
+    rows = [("r", "a/x.py", "python", [1, 2]), ("r", "a/b/y", None, [3]), ("r", "a/b/z", None, []), ("r", "top", None, [4])]
+    found = G.module_totals(spark.createDataFrame(rows, "repo string, path string, language string, definitions array<int>"))
+    assert {x["module"]: (x["file_count"], x["definition_count"], x["language"], x["depth"]) for x in found.collect()} == {"a": (3, 3, "python", 1), "a/b": (2, 1, None, 2)}

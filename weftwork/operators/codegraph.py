@@ -60,7 +60,8 @@ def symbols(files: DataFrame) -> DataFrame:
 def module_totals(files: DataFrame) -> DataFrame:
     """repo, module, depth, file_count, definition_count, language: totals of every folder over all that lies below it.
 
-    The language is the one of most files, by name among equals; files without one don't vote. Counts are combined per
+    The language is the one of most files, by name among equals; files without one don't vote, and a folder of such files
+    only has none. Counts are combined per
     language before the second aggregate, so each file is spread over its ancestors only once.
     """
     spread = files.select("repo", F.explode(ancestry(owning_module(F.col("path")))).alias("module"), "language", F.size("definitions").alias("n"))
@@ -69,7 +70,7 @@ def module_totals(files: DataFrame) -> DataFrame:
     # the largest count, then the first name: order by count up and name down
     best = F.array_sort(F.collect_list(votes), lambda a, b: F.when(a.n > b.n, -1).when(a.n < b.n, 1).when(a.l < b.l, -1).when(a.l > b.l, 1).otherwise(0))
     return per.groupBy("repo", "module").agg(
-        F.sum("files").cast("long").alias("file_count"), F.sum("definitions").cast("long").alias("definition_count"), best.getItem(0)["l"].alias("language")
+        F.sum("files").cast("long").alias("file_count"), F.sum("definitions").cast("long").alias("definition_count"), F.get(best, F.lit(0))["l"].alias("language")
     ).withColumn("depth", F.size(F.split("module", "/")))
 
 
