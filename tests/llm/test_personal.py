@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from weftwork.llm import personal as P
+from weftwork.llm.queries import p5_redacted
 
 TABLES = Path("/root/testdata/sf0.1")
 GIVEN, FAMILY = frozenset({"alma", "oleg"}), frozenset({"corvaholt", "lindgard"})
@@ -74,3 +75,13 @@ def test_whole_directory_or_an_error(spark):
     assert len(given) == 60_001 and {"family59999", "brien", "soder"} <= family
     with pytest.raises(ValueError):
         P.lexicon(members, limit=1000)
+
+
+def test_all_three_tables_are_redacted(spark, tmp_path):
+    texts = ["write to anna.holt@example.org today", "nothing to hide", None, ""]
+    for table, column in (("decisions", "text"), ("comments", "body"), ("service", "description_md")):
+        spark.createDataFrame(list(enumerate(texts)), f"row_id long, {column} string").write.parquet(f"{tmp_path}/{table}.parquet")
+    spark.createDataFrame([("Alma Lindgard",)], "name string").write.parquet(f"{tmp_path}/members.parquet")
+    found = {(r["tbl"], r["row_id"]): r["text"] for r in p5_redacted(spark, str(tmp_path)).collect()}
+    want = ["write to [EMAIL] today", *texts[1:]]
+    assert found == {(table, i): x for table in ("decisions", "comments", "service") for i, x in enumerate(want)}

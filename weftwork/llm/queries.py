@@ -35,20 +35,25 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversations(table(spark, folder, "decisions"))
 
 
+#: The texts that hold personal items: table and column.
+PERSONAL = (("decisions", "text"), ("comments", "body"), ("service", "description_md"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every personal item in decisions.text, comments.body and service.description_md."""
     names = personal.lexicon(table(spark, folder, "members"))
     parts = []
-    for name, column in (("decisions", "text"), ("comments", "body"), ("service", "description_md")):
+    for name, column in PERSONAL:
         found = personal.personal_items(table(spark, folder, name), column, ["row_id"], names)
         parts.append(found.select(F.lit(name).alias("tbl"), "row_id", "kind", "start_at"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Comments with a typed placeholder for every item."""
+    """tbl, row_id, text: decisions.text, comments.body and service.description_md with a typed placeholder for every item."""
     names = personal.lexicon(table(spark, folder, "members"))
-    return personal.redact_personal(table(spark, folder, "comments").select("row_id", "body"), "body", names)
+    texts = [table(spark, folder, name).select(F.lit(name).alias("tbl"), "row_id", F.col(column).alias("text")) for name, column in PERSONAL]
+    return personal.redact_personal(texts[0].unionByName(texts[1]).unionByName(texts[2]), "text", names)
 
 
 def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
